@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_packing": ("packing", None),
     "op6_token_counts": ("token_counts", None),
     "op8_fingerprints": ("fingerprints", None),
+    "op9_near_dedup": ("near_dedup", None),
 }
 
 

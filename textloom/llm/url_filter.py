@@ -140,6 +140,16 @@ def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 0.01, max
     raise RuntimeError("the cascade did not end")
 
 
+def bloom_filter(keys: DataFrame, max_bits: int = 1 << 27, fpp: float = 0.01):
+    """A function from a column to whether it may be among column ``key`` of ``keys``; None where the
+    filter would need more than ``max_bits``."""
+    bits, hashes = _bits(max(1, keys.count()), fpp), max(1, round(-math.log2(fpp)))
+    if bits > max_bits:
+        return None
+    words = _filter_table(keys, bits, hashes, 0)
+    return lambda key: _maybe(key, words.scalar(), bits, hashes, 0)
+
+
 def _bits(n: int, fpp: float) -> int:
     return 64 * max(1, math.ceil(-n * math.log(fpp) / math.log(2) ** 2 / 64))
 
