@@ -11,6 +11,7 @@ _QUERIES = {
     "op6_token_counts": ("token_counts", None),
     "op8_fingerprints": ("fingerprints", None),
     "op9_near_dedup": ("near_dedup", None),
+    "op10_line_dedup": ("line_dedup", "OP10_SQL"),
 }
 
 

@@ -140,14 +140,20 @@ def build_cascade(listed: DataFrame, universe: DataFrame, fpp: float = 0.01, max
     raise RuntimeError("the cascade did not end")
 
 
-def bloom_filter(keys: DataFrame, max_bits: int = 1 << 27, fpp: float = 0.01):
-    """A function from a column to whether it may be among column ``key`` of ``keys``; None where the
-    filter would need more than ``max_bits``."""
+def bloom_filter_parts(keys: DataFrame, max_bits: int = 1 << 27, fpp: float = 0.01):
+    """The words of a Bloom filter over column ``key`` as a scalar column, and a function from a key
+    and that column to whether the key may be in it; (None, None) where it needs over ``max_bits``."""
     bits, hashes = _bits(max(1, keys.count()), fpp), max(1, round(-math.log2(fpp)))
     if bits > max_bits:
-        return None
+        return None, None
     words = _filter_table(keys, bits, hashes, 0)
-    return lambda key: _maybe(key, words.scalar(), bits, hashes, 0)
+    return words.scalar(), lambda key, column: _maybe(key, column, bits, hashes, 0)
+
+
+def bloom_filter(keys: DataFrame, max_bits: int = 1 << 27):
+    """A function from a column to whether it may be among column ``key`` of ``keys``, or None."""
+    words, maybe = bloom_filter_parts(keys, max_bits)
+    return (lambda key: maybe(key, words)) if maybe else None
 
 
 def _bits(n: int, fpp: float) -> int:
