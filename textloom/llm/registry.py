@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
+    "op3_pii": ("pii", None),
     "op4_secrets": ("secrets", None),
     "op5_packing": ("packing", None),
     "op6_token_counts": ("token_counts", None),
