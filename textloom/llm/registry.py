@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_secrets": ("secrets", None),
     "op5_packing": ("packing", None),
     "op6_token_counts": ("token_counts", None),
+    "op7_quality": ("quality", None),
     "op8_fingerprints": ("fingerprints", None),
     "op9_near_dedup": ("near_dedup", None),
     "op10_line_dedup": ("line_dedup", "OP10_SQL"),
