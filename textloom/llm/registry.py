@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_url_filter": ("url_filter", "OP1_SQL"),
+    "op2_decontaminate": ("decontaminate", None),
     "op3_pii": ("pii", None),
     "op4_secrets": ("secrets", None),
     "op5_packing": ("packing", None),
