@@ -29,6 +29,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,8 +234,6 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options)
 
 
 def _no_hit(index: Index, overlap: float):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def no_hit(texts: pd.Series) -> pd.Series:
         return pd.Series([not index.hits(t, overlap) for t in texts], dtype=bool)

@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, table, text_or_empty
-from textloom.llm.url_filter import bloom_filter
+from textloom.llm.url_filter import bloom_filter, bloom_filter_parts
 
 WORDS, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 27
 #: Characters of text that are hashed at once.
@@ -308,6 +308,26 @@ def _across(placed: DataFrame, split: DataFrame, few: DataFrame, near) -> DataFr
     return minor.withColumnRenamed("key", "k2").join(every, (F.col("key") == F.col("k2")) & F.expr("la != lb and (la = main or a < b)") & near("fa", "fb")).select("a", "b")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, **options) -> DataFrame:
+    """``docs`` with one row of each class: that with the least id (then hash); of repeated rows one.
+
+    Only rows that go, or that may (a Bloom filter), move; all others pass through the scan.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h"), "stays"), "verdicts")
+    special = found.groupBy("_i", "_h").agg(F.count("*").alias("_n"), F.any_value("stays").alias("_stays")).where("_n > 1 or not _stays")
+    special = materialize(special, "special")
+    words, maybe = bloom_filter_parts(special.select(F.xxhash64("_i", "_h").alias("key")), max_bits)
+    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty(text_col)))
+    rest = None
+    if maybe:
+        rows = rows.withColumn("_words", words).withColumn("_maybe", maybe(F.xxhash64(F.col(id_col), "_hash"), F.col("_words"))).drop("_words")
+        rest, rows = rows.where("not _maybe"), rows.where("_maybe")
+    rows = rows.join(special, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
+    once = rows.where("_stays").select(*docs.columns, F.row_number().over(Window.partitionBy("_i", "_h").orderBy("_hash")).alias("_k")).where("_k = 1")
+    out = rows.where("_stays is null").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return out.unionByName(rest.select(*docs.columns)) if rest is not None else out
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

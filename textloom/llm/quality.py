@@ -27,6 +27,7 @@ import operator
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import materialize, table, text_or_empty
 
 SAMPLE = 8000
+#: Least penalty on the weights of words, so that few labelled rows give cautious weights.
+TERM_RIDGE = 0.05
 _SYMBOLS = np.array([chr(b) in "!?;:\"'()*%$&#|+-/<=>@[\\]^_`{}~" for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
@@ -104,8 +107,12 @@ class Model:
 
 
 def fit_model(rows: list[tuple[str, int, int]], least_df: int = 4, most_terms: int = 400) -> Model:
-    """From (text, quality, toxic)."""
-    out = Model()
+    """From (text, quality, toxic). Of texts whose four least word hashes are the same, copies of one
+    another, one counts: else the words of a text that is often copied would look telling."""
+    out, sketches = Model(), {}
+    for r in rows:
+        sketches.setdefault((*sorted({crc32(w.encode()) for w in r[0].lower().split()})[:4], *r[1:]), r)
+    rows = list(sketches.values())
     good = np.array([r[1] for r in rows], dtype=float)
     toxic = np.array([r[2] for r in rows], dtype=float)
     seen = [read(r[0]) for r in rows]
@@ -119,7 +126,7 @@ def fit_model(rows: list[tuple[str, int, int]], least_df: int = 4, most_terms: i
         for s, y in zip(sets, toxic):
             (with_ if y else without).update(s)
         a, b = toxic.sum(), len(rows) - toxic.sum()
-        gain = {t: n / a - 8 * without[t] / b for t, n in with_.items() if n >= least_df}
+        gain = {t: n / a - 8 * without[t] / b for t, n in with_.items() if n >= max(least_df, 0.01 * a)}
         chosen = sorted((t for t in gain if gain[t] > 0), key=lambda t: (-gain[t], t))[:most_terms]
         if chosen:
             place = {t: k for k, t in enumerate(chosen)}
@@ -127,7 +134,7 @@ def fit_model(rows: list[tuple[str, int, int]], least_df: int = 4, most_terms: i
             for i, s in enumerate(sets):
                 for t in s & place.keys():
                     x[i, place[t]] = 1
-            w = fit_logistic(x, toxic, 1e-5)
+            w = fit_logistic(x, toxic, max(1e-5, TERM_RIDGE / len(rows)))
             out.terms, out.base = dict(zip(chosen, w[:-1].tolist())), float(w[-1])
     return out
 
