@@ -38,7 +38,7 @@ from textloom.llm.common import materialize, table, text_or_empty
 
 SAMPLE = 8000
 #: Least penalty on the weights of words, so that few labelled rows give cautious weights.
-TERM_RIDGE = 0.05
+TERM_RIDGE = 0.2
 _SYMBOLS = np.array([chr(b) in "!?;:\"'()*%$&#|+-/<=>@[\\]^_`{}~" for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
