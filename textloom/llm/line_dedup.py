@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes, in built-in functions only.
 
-A line ends at a line break or, so that passages inside long lines are found too, after a sentence
-(``.``, ``!`` or ``?`` with a space). Lines are compared without the white space around them; blank
+A line ends at a line break (``boundary`` can cut finer, for instance at sentence ends, at a cost
+that grows with the number of lines). Lines are compared without the white space around them; blank
 ones do not count. A window is the fewest lines in a row from some line on (forward) or up to some
 line (backward) that have ``min_words`` words together.
 
-1. Fingerprints: in each forward window the least line hash. Whatever run of ``min_words`` words is
+1. Fingerprints: in each forward window the least line hash (lines of fewer than five words, which
+   chance repeats, come last). Whatever run of ``min_words`` words is
    repeated holds a whole window, so both places have its fingerprint (the winnowing guarantee).
 2. Fingerprints found in two places or more go into a Bloom filter (within ``max_bits``; beyond, all
    windows go on, with the same result).
@@ -33,15 +34,15 @@ from textloom.llm.common import materialize, table, text_or_empty
 from textloom.llm.url_filter import bloom_filter_parts
 
 MIN_WORDS = 25
-BOUNDARY = r"(?<=\n)|(?<=[.!?] )"
+BOUNDARY = r"(?<=\n)"
 #: Lines looked at for a window before, in texts of very short lines, ``min_words`` of them are.
 NEAR = 8
 
 _LINES = "transform(_ld_u, (x, i) -> named_struct('p', i, 'y', btrim(x, ' \\n\\r\\t')))"
-_KEPT = "transform(filter({lines}, u -> u.y != ''), u -> named_struct('p', u.p, 'h', xxhash64(u.y), 'w', length(u.y) - length(replace(u.y, ' ', '')) + 1))"
+_KEPT = "transform(transform(filter({lines}, u -> u.y != ''), u -> named_struct('p', u.p, 'h', xxhash64(u.y), 'w', length(u.y) - length(replace(u.y, ' ', '')) + 1)), u -> named_struct('p', u.p, 'h', u.h, 'w', u.w, 'k', shiftrightunsigned(u.h, 2) + if(u.w < 5, 4611686018427387904L, 0L)))"
 _TOTAL = "aggregate({s}, 0, (a, u) -> a + u.w)"
 _WINDOW = """aggregate({s}, named_struct('w', 0, 'd', cast({seed} as bigint), 'm', 9223372036854775807L, 'mp', -1, 'q', -1, 'r', false),
-  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'd', xxhash64(a.d, u.h), 'm', least(a.m, u.h), 'mp', if(u.h < a.m, u.p, a.mp), 'q', u.p, 'r', a.r or {r})))"""
+  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'd', xxhash64(a.d, u.h), 'm', least(a.m, u.k), 'mp', if(u.k < a.m, u.p, a.mp), 'q', u.p, 'r', a.r or {r})))"""
 
 
 def _both_ways(t: int, hit: str) -> tuple[str, str]:
@@ -74,7 +75,7 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = materialize(marks.select(F.col("x.m").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
     words, maybe = bloom_filter_parts(repeated, max_bits)
     if maybe:
-        base = base.withColumn("_ld_f", words).withColumn("_ld_k", F.transform("_ld_k", lambda u: F.struct(u["p"].alias("p"), u["h"].alias("h"), u["w"].alias("w"), maybe(u["h"], F.col("_ld_f")).alias("r"))))
+        base = base.withColumn("_ld_f", words).withColumn("_ld_k", F.transform("_ld_k", lambda u: F.struct(u["p"].alias("p"), u["h"].alias("h"), u["w"].alias("w"), u["k"].alias("k"), maybe(u["k"], F.col("_ld_f")).alias("r"))))
         base = base.where(F.exists("_ld_k", lambda u: u["r"]))
     ahead, back = _both_ways(min_words, "u.r" if maybe else "true")
     keep = f"filter({each}, x -> x.w >= {min_words} and x.r)"
@@ -126,7 +127,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 u as (select doc_id, t, unnest(list_zip(p, range(len(p)))) as z
-      from (select doc_id, t, list_filter(string_split(regexp_replace(t, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') as p from d)),
+      from (select doc_id, t, list_filter(string_split(regexp_replace(t, '(\n)', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') as p from d)),
 lines as (select doc_id, t, z[1] as x, cast(z[2] as int) as p, trim(z[1], chr(32) || chr(10) || chr(13) || chr(9)) as y from u),
 kept as (select doc_id, md5(t) as h, p, y, length(y) - length(replace(y, ' ', '')) + 1 as w from lines where y != ''),
 c as (select *, sum(w) over (partition by doc_id, h order by p) as upto, row_number() over (partition by doc_id, h order by p) as i from kept),
