@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from textloom.plans import corpus_queries, text_queries, training_queries, vector_queries  # noqa: F401  they register
+from textloom.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
