@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from functools import wraps
 from html.parser import HTMLParser
 from math import exp, log
 
@@ -14,6 +15,19 @@ from pyspark.sql import functions as F
 from textloom.plans import config as C
 
 
+def vectorised(kind: str):
+    """An Arrow function that is registered where it is called, so workers can import this module."""
+
+    def wrap(f):
+        @wraps(f)
+        def call(*cols):
+            return F.pandas_udf(f, kind)(*cols)
+
+        return call
+
+    return wrap
+
+
 class _Text(HTMLParser):
     """Text nodes without scripts and styles; title of the first h1; bodies of articles."""
 
@@ -70,17 +84,17 @@ def article_text(s: str | None, url: str | None) -> tuple[str, str]:
     return squeeze(p.h1) or url or "", squeeze(p.article or p.nodes)
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def strip_html(s: pd.Series) -> pd.Series:
     return s.map(strip_html_text)
 
 
-@F.pandas_udf("title string, body string")
+@vectorised("title string, body string")
 def extract_article(s: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([article_text(a, b) for a, b in zip(s, url)], columns=["title", "body"])
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def unescape_html(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
@@ -99,7 +113,7 @@ def strip_footer_text(t: str | None, zone: float = 0.62, signature: re.Pattern =
     return signature.sub("", s[:cut].rstrip() if cut < len(s) else s).rstrip()
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def strip_footer(s: pd.Series) -> pd.Series:
     return s.map(strip_footer_text)
 
@@ -120,7 +134,7 @@ def restore_casing_text(t: str | None) -> str | None:
     return _start.sub(lambda m: m[1] + m[2].upper(), out)
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def restore_casing(s: pd.Series) -> pd.Series:
     return s.map(restore_casing_text)
 
