@@ -49,7 +49,7 @@ def eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 def objects(spark: SparkSession, path: str, suffix: str = "*.json") -> DataFrame:
     """Whole objects of a folder by name; names that begin with _ are not read."""
-    return spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.input_file_name().alias("name"), F.col("value").alias("body"))
+    return spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("body"))
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
