@@ -68,6 +68,6 @@ def promote(df: DataFrame, path: str, dataset: str) -> dict:
     """Write training lines and the marker that says they are ready."""
     text_lines(df, path)
     spark: SparkSession = df.sparkSession
-    lines = spark.read.text(path)
-    got = lines.agg(F.count("*").alias("approx_rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("dataset_bytes"), F.array_sort(F.collect_set(F.element_at(F.split(F.input_file_name(), "/"), -1))).alias("source_parts")).first()
+    lines = spark.read.text(path).withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    got = lines.agg(F.count("*").alias("approx_rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("dataset_bytes"), F.array_sort(F.collect_set("part")).alias("source_parts")).first()
     return json.loads(json.dumps({"dataset_key": dataset, **got.asDict()}))
