@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, table, text_or_empty
 
-SAMPLE = 8000
+SAMPLE = 5000
 #: Least penalty on the weights of words, so that few labelled rows give cautious weights.
 TERM_RIDGE = 0.2
 _SYMBOLS = np.array([chr(b) in "!?;:\"'()*%$&#|+-/<=>@[\\]^_`{}~" for b in range(256)])
@@ -115,24 +115,27 @@ def fit_model(rows: list[tuple[str, int, int]], least_df: int = 4, most_terms: i
     rows = list(sketches.values())
     good = np.array([r[1] for r in rows], dtype=float)
     toxic = np.array([r[2] for r in rows], dtype=float)
-    seen = [read(r[0]) for r in rows]
     if 0 < good.sum() < len(rows):
-        x = np.array([style for style, _ in seen])
+        x = np.array([read(r[0])[0] for r in rows])
         out.mean, out.scale = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
         out.quality = fit_logistic(np.clip((x - out.mean) / out.scale, -6, 6), good, 1e-4).tolist()
     if 0 < toxic.sum() < len(rows):
-        sets = [terms_of(words) for _, words in seen]
-        with_, without = Counter(), Counter()
-        for s, y in zip(sets, toxic):
-            (with_ if y else without).update(s)
         a, b = toxic.sum(), len(rows) - toxic.sum()
-        gain = {t: n / a - 8 * without[t] / b for t, n in with_.items() if n >= max(least_df, 0.01 * a)}
+        with_, without = Counter(), Counter()
+        for r in rows:
+            if r[2]:
+                with_.update(terms_of(read(r[0])[1]))
+        with_ = {t: n for t, n in with_.items() if n >= max(least_df, 0.01 * a)}
+        for r in rows:  # only the words in question are counted, so memory stays small
+            if not r[2]:
+                without.update(terms_of(read(r[0])[1]) & with_.keys())
+        gain = {t: n / a - 8 * without[t] / b for t, n in with_.items()}
         chosen = sorted((t for t in gain if gain[t] > 0), key=lambda t: (-gain[t], t))[:most_terms]
         if chosen:
             place = {t: k for k, t in enumerate(chosen)}
             x = np.zeros((len(rows), len(chosen)))
-            for i, s in enumerate(sets):
-                for t in s & place.keys():
+            for i, r in enumerate(rows):
+                for t in terms_of(read(r[0])[1]) & place.keys():
                     x[i, place[t]] = 1
             w = fit_logistic(x, toxic, max(1e-5, TERM_RIDGE / len(rows)))
             out.terms, out.base = dict(zip(chosen, w[:-1].tolist())), float(w[-1])
