@@ -27,8 +27,9 @@ def match_lineage(outputs: DataFrame, catalogue: DataFrame, out: str = "output",
     cols = lambda df, rank: df.select(key, "_src", "_m", F.lit(rank).alias("_rank"))
     every = exact.unionByName(cols(starts_long.unionByName(starts_short), 1)).unionByName(cols(inside_long.unionByName(inside_short), 2))
     best = every.groupBy(key).agg(F.min(F.struct("_rank", (-F.col("_m")).alias("_neg"), "_src")).alias("b"))
-    how = F.element_at(F.array(F.lit("exact"), F.lit("starts"), F.lit("inside")), F.col("b._rank") + 1)
-    return outputs.select(key).join(best, key, "left").select(key, F.col("b._src").alias(src), F.coalesce(how, F.lit("none")).alias("how"))
+    rank = F.col("b._rank")
+    how = F.when(F.col("b").isNull(), "none").when(rank == 0, "exact").when(rank == 1, "starts").otherwise("inside")
+    return outputs.select(key).join(best, key, "left").select(key, F.col("b._src").alias(src), how.alias("how"))
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
