@@ -58,16 +58,20 @@ def hash_rank(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
 
 
-def splits(docs: DataFrame, by: str = "source", key: str = "doc_id", seed: int = 298, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
-    """``split`` per document: train, val or test, by rank within the source.
+def splits(docs: DataFrame, by: str = "source", key: str = "doc_id", seed: int = 298, shares: tuple[float, float] = (0.8, 0.1), prefix: int = 3) -> DataFrame:
+    """``split`` per document: train, val or test, by the rank of its digest within the source.
 
-    Ranks come from digests: a document's rank is the number of smaller digests of its source.
+    A source is ranked in slices by the first ``prefix`` digits of the digest, which keep the order;
+    counts of the slices before give the rest of the rank. So no task holds a whole source.
     """
-    w = Window.partitionBy(by).orderBy(hash_rank(key, seed), key)
-    n = F.count("*").over(Window.partitionBy(by))
-    r = F.row_number().over(w)
-    a, b = F.round(n * shares[0]), F.round(n * shares[1])
-    return docs.withColumn("split", F.when(r <= a, "train").when(r <= a + b, "val").otherwise("test"))
+    rows = docs.withColumn("_d", hash_rank(key, seed)).withColumn("_p", F.left("_d", F.lit(prefix)))
+    own = Window.partitionBy("_by", "_s")
+    sizes = rows.groupBy(F.col(by).alias("_by"), F.col("_p").alias("_s")).agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_n", F.sum("_c").over(Window.partitionBy("_by"))).withColumn("_b", F.sum("_c").over(Window.partitionBy("_by").orderBy("_s")) - F.col("_c")).drop("_c")
+    joined = rows.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_s")))
+    r = F.row_number().over(own.orderBy("_d", key)) + F.col("_b")
+    a, b = F.round(F.col("_n") * shares[0]), F.round(F.col("_n") * shares[1])
+    return joined.withColumn("split", F.when(r <= a, "train").when(r <= a + b, "val").otherwise("test")).select(*docs.columns, "split")
 
 
 def holdout(docs: DataFrame, key: str = "doc_id", seed: int = 42, percent: int = 10) -> DataFrame:
@@ -85,20 +89,42 @@ def stage_summary(*stages: tuple[str, DataFrame], by: str = "source") -> DataFra
     return out.na.fill(0, [name for name, _ in stages])
 
 
-def drift(rows: DataFrame, when: str, key: str, value: str) -> DataFrame:
-    """Mean, median and 90th percentile of the early and the late half by time.
+def micros(when: str) -> Column:
+    return F.unix_micros(F.col(when).cast("timestamp"))
+
+
+def rank_border(rows: DataFrame, when: str, key: str, rank: int, parts: int = 4096) -> tuple | None:
+    """(time in microseconds, key) of the row with a rank (from 1) in that order.
 
-    The border is the value of rank n // 2, found by an exact percentile over (time, key) order and
-    counts, so the rows themselves are not sorted in one place.
+    Counts of equal stretches of time narrow it down, one stretch after another; only the last, short
+    stretch is sorted. At most ``parts`` counts come to the driver at a time.
     """
+    own = rows.select(key, micros(when).alias("_t")).where("_t is not null")
+    lo, hi = own.agg(F.min("_t"), F.max("_t")).first()
+    while lo is not None and hi - lo >= parts:
+        step = (hi - lo) // parts + 1
+        counts = own.where(F.col("_t").between(lo, hi)).groupBy(F.floor((F.col("_t") - lo) / step).alias("b")).count().orderBy("b").collect()
+        for b, n in counts:
+            if rank <= n:
+                lo, hi = lo + b * step, min(hi, lo + (b + 1) * step - 1)
+                break
+            rank -= n
+        else:
+            return None
+        if n <= 10_000:
+            break
+    if lo is None:
+        return None
+    return own.where(F.col("_t").between(lo, hi)).orderBy("_t", key).limit(rank).agg(F.max(F.struct("_t", key)).alias("b")).first()["b"]
+
+
+def drift(rows: DataFrame, when: str, key: str, value: str) -> DataFrame:
+    """Mean, median and 90th percentile of the early and the late half by (time, key)."""
+    rows = rows.where(F.col(when).isNotNull())
     n = rows.count()
-    if not n:
-        return rows.select(F.lit("early").alias("half"), *(F.lit(None).cast("double").alias(c) for c in ("mean_value", "p50", "p90")), F.lit(0).cast("long").alias("n")).limit(0)
-    half = n // 2
-    border = rows.select(when, key).orderBy(when, key).limit(max(half, 1)).agg(F.max(F.struct(when, key)).alias("b"))
-    early = F.struct(F.col(when), F.col(key)) <= border.scalar()
-    label = F.when(early, "early").otherwise("late") if half else F.lit("late")
-    return rows.withColumn("half", label).groupBy("half").agg(
+    border = rank_border(rows, when, key, n // 2) if n > 1 else None
+    early = (micros(when) < border[0]) | ((micros(when) == border[0]) & (F.col(key) <= border[1])) if border else F.lit(False)
+    return rows.withColumn("half", F.when(early, "early").otherwise("late")).groupBy("half").agg(
         F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.9), 6).alias("p90")
     )
 

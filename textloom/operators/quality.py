@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -98,9 +98,12 @@ def clean_rows(rows: DataFrame, order: str = "doc_id", most: int = C.TRUNCATE_CH
     outputs by ``order`` is kept)."""
     out = rows.withColumn("_tagged", X.scrub_stage_tags("output")).withColumn("_plain", udfs.strip_footer("_tagged"))
     out = out.withColumn("_junk", is_junk("instruction", "_plain")).withColumn("cleaned", X.truncate("_plain", most))
-    first = F.row_number().over(Window.partitionBy("_junk", F.md5(F.trim("cleaned"))).orderBy(order, "instruction"))
-    reason = F.when(F.col("_junk"), "junk").when(first > 1, "duplicate").otherwise("keep")
-    return out.withColumn("reason", reason).drop("_tagged", "_plain", "_junk")
+    out = out.withColumn("_d", F.md5(F.trim("cleaned"))).withColumn("_o", F.struct(order, "instruction"))
+    # the least of each group by an aggregate: however often an output is copied, no task holds its rows
+    first = out.where("not _junk").groupBy(F.col("_d").alias("_g")).agg(F.min("_o").alias("_first"))
+    out = out.join(first, F.col("_d") == F.col("_g"), "left")
+    reason = F.when(F.col("_junk"), "junk").when(F.col("_o") != F.col("_first"), "duplicate").otherwise("keep")
+    return out.withColumn("reason", reason).drop("_tagged", "_plain", "_junk", "_d", "_o", "_g", "_first")
 
 
 def stitch(rows: DataFrame, key: str, part: str, out: str) -> DataFrame:

@@ -85,21 +85,25 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vec: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, rank, key, dist): the exact k nearest of each of a bounded set of queries.
+def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vec: str = "embedding", block: int = 10_000) -> DataFrame:
+    """(query_id, rank, key, dist): the exact k nearest of each query.
 
-    Queries go to the rows in one broadcast block; their number is checked. Each partition keeps its
-    best k per query (an aggregate of arrays of at most k entries) before anything is exchanged.
+    Queries go to the rows in broadcast blocks of at most about ``block``, one block after another.
+    Each slice of the rows keeps its best k per query before the slices meet.
     """
     q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("_q"))
-    if q.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"over {most_queries} queries: pass them in blocks")
-    pairs = index.select(key, vec).where(F.size(vec) > 0).crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, F.round(distance(F.col(vec), F.col("_q"), metric), 6).alias("dist"))
-    local = Window.partitionBy("query_id", "_p").orderBy("dist", key)
-    best = scored.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(32))).withColumn("_r", F.row_number().over(local)).where(f"_r <= {k}")
+    blocks = max(1, -(-q.count() // block))
+    rows = index.select(key, vec).where(F.size(vec) > 0)
+    out = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = rows.crossJoin(F.broadcast(part)).where(F.col(key) != F.col("query_id"))
+        scored = pairs.select("query_id", key, F.round(distance(F.col(vec), F.col("_q"), metric), 6).alias("dist"))
+        local = Window.partitionBy("query_id", "_p").orderBy("dist", key)
+        best = scored.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(32))).withColumn("_r", F.row_number().over(local)).where(f"_r <= {k}")
+        out = best if out is None else out.unionByName(best)
     last = Window.partitionBy("query_id").orderBy("dist", key)
-    return best.withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select("query_id", "rank", key, "dist")
+    return out.withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select("query_id", "rank", key, "dist")
 
 
 def rerank(found: DataFrame, body: str, vocabulary: tuple[str, ...], n: int, by: str = "query_id") -> DataFrame:

@@ -17,12 +17,12 @@ _L2 = "list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::doub
 
 def _knn_sql(dist: str, k: int = 5) -> str:
     return f"""select query_id, rank, vec_id, dist from (select q.vec_id as query_id, e.vec_id, round({dist}, 6) as dist, row_number() over (partition by q.vec_id order by round({dist}, 6), e.vec_id) as rank
-from embeddings e, (select * from embeddings order by md5(vec_id::varchar), vec_id limit 10) q where e.vec_id <> q.vec_id) where rank <= {k}"""
+from embeddings e, (select * from embeddings where vec_id % 100 = 0) q where e.vec_id <> q.vec_id) where rank <= {k}"""
 
 
 def _queries(e):
-    """Ten stored vectors stand for questions."""
-    return e.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(10)
+    """Every hundredth stored vector stands for a question."""
+    return e.where("vec_id % 100 = 0")
 
 
 def _knn(spark, d, metric, k=5):
