@@ -9,22 +9,24 @@ from textloom.functions import text as X
 from textloom.plans import config as C
 
 
-def posts(docs: DataFrame, body: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per distinct cleaned text of at least 50 words, that with the least key, with the
-    style features."""
+def posts(docs: DataFrame, body: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("source",)) -> DataFrame:
+    """One row per distinct cleaned text of at least 50 words, that with the least key: key, ``keep``
+    and the style features.
+
+    Features are made in the scan's stage; only they and a digest are exchanged, after a partial
+    aggregate. Add ``body`` to ``keep`` where the text itself is wanted.
+    """
     out = docs.withColumn("cleaned_text", X.clean_markdown(body)).withColumn("word_count", X.word_count("cleaned_text")).where(F.col("word_count") >= C.MIN_WORDS)
-    # the least key per digest needs no sort and combines on the map side; texts do not move
-    first = out.groupBy(F.md5("cleaned_text").alias("_d")).agg(F.min(key).alias("_k"))
-    out = out.join(first.select(F.col("_k").alias(key)).distinct(), key, "left_semi")
-    return out.withColumns(
-        {
-            "avg_sentence_length": X.avg_sentence_length("cleaned_text"),
-            "vocabulary_richness": X.vocabulary_richness("cleaned_text"),
-            "question_count": X.question_count("cleaned_text"),
-            "formality_score": X.formality("cleaned_text"),
-            "is_b2b": X.is_b2b("cleaned_text"),
-        }
-    )
+    columns = {
+        "word_count": F.col("word_count"),
+        "avg_sentence_length": X.avg_sentence_length("cleaned_text"),
+        "vocabulary_richness": X.vocabulary_richness("cleaned_text"),
+        "question_count": X.question_count("cleaned_text"),
+        "formality_score": X.formality("cleaned_text"),
+        "is_b2b": X.is_b2b("cleaned_text"),
+    }
+    row = F.struct(key, *keep, *(c.alias(n) for n, c in columns.items()))
+    return out.groupBy(F.md5("cleaned_text").alias("_d")).agg(F.min_by(row, key).alias("r")).select("r.*")
 
 
 def style_profile(p: DataFrame, by: str = "source") -> DataFrame:
