@@ -10,12 +10,15 @@ shingle of all its words), weighted by 1 + ln(times it occurs).
    Jaccard similarity. All shingles of a batch of texts go through the rounds together.
 3. Banding: 27 keys of 7 registers. At a similarity of 0.8 a pair shares a key with probability 0.998.
 4. Verification of groups that share a key, by the Jaccard similarity of the shingle sets:
-   a. Two rounds: in each bucket one centre (by a hash, so the same one in most buckets of a class) is
-      compared with every member that is not in its component yet.
+   a. Two rounds: in each bucket one centre is compared with every member that is not in its component
+      yet. Centres are the texts that share keys with the most others, so they lie in the middle of a
+      class and are the same in most of its buckets; in the second round, of the texts outside the
+      first one's component.
    b. Pairs in one bucket that are still in different components are compared each, so no candidate
       pair goes unjudged. The class is the component, so pairs within one need no comparison.
-   Four bits of each register go along; a pair of which more registers differ than 4 standard
-   deviations above what a similarity of 0.8 gives is not compared (a chance of 3 in 100,000 at 0.8).
+   Four bits of each register go along; a pair of which more registers differ than 3 standard
+   deviations above what a similarity of 0.8 gives is not compared (a chance of 1 in 700 at 0.8, of
+   1 in 100,000 at 0.83). A pair that shares several keys leaves the join with the least of them only.
 5. Components by label propagation with pointer jumping on tables in the shared folder.
 
 Texts move only for groups that share a key with another: a Bloom filter of those goes with the scan
@@ -242,9 +245,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(sign(base, words, rows, bands), "signed")
     groups = materialize(signed.groupBy("digest").agg(_least("id", "h").alias("least"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("few").alias("few")), "groups")
     seats = groups.select(F.explode("bands").alias("key"), "digest").repartition("key")
-    crowded = seats.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("key")
+    crowded = seats.groupBy("key").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.count("*").alias("size")).where("x != y").select("key", "size")
     seats = materialize(seats.join(crowded, "key"), "seats")
-    nodes = materialize(groups.select("digest", "least.id", "least.h", "few").join(seats.select("digest").distinct(), "digest"), "nodes")
+    nodes = materialize(groups.select("digest", "least.id", "least.h", "few", "bands").join(seats.groupBy("digest").agg(F.sum("size").alias("links")), "digest"), "nodes")
+    seats = seats.select("key", "digest")
     code = F.xxhash64("id", "h")
     maybe = bloom_filter(nodes.select(code.alias("key")), max_bits)
     found = base.where(maybe(code)) if maybe else base
@@ -253,12 +257,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few, near = nodes.select("digest", "few"), _near(rows * bands, similarity)
     label, edges = nodes.select("digest", F.col("digest").alias("label")), None
     for turn in range(3):
-        placed = seats.join(label, "digest")
-        split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64(F.lit(turn), "digest").alias("_o"), "digest", "label")).alias("c")).where("x != y")
+        placed = seats.join(label.join(nodes.select("digest", "links"), "digest"), "digest")
+        centre = F.max(F.struct("links", "digest", "label"))
+        split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), centre.alias("c")).where("x != y").select("key", "c")
+        if turn == 1:
+            split = placed.join(split, "key").where("label != c.label").groupBy("key").agg(centre.alias("c"))
         if turn < 2:
             pairs = placed.join(split, "key").where("label != c.label").select(F.col("c.digest").alias("a"), F.col("digest").alias("b"))
         else:
-            pairs = _across(placed, split.select("key"), few, near)
+            pairs = _across(placed.drop("links"), split.select("key"), nodes.select("digest", "few", "bands"), near, bands)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if turn < 2:
             pairs = pairs.join(few.withColumnsRenamed({"digest": "a", "few": "fa"}), "a").join(few.withColumnsRenamed({"digest": "b", "few": "fb"}), "b").where(near("fa", "fb")).select("a", "b")
@@ -282,7 +289,7 @@ def _least(own: str, h: str) -> F.Column:
 def _near(registers: int, similarity: float):
     """A condition on two ``few``: not more registers differ than ``similarity`` allows."""
     p = (1 - similarity) * 15 / 16
-    most = registers * p + 4 * (registers * p * (1 - p)) ** 0.5
+    most = registers * p + 3 * (registers * p * (1 - p)) ** 0.5
 
     def near(a: str, b: str) -> F.Column:
         differ = F.lit(0)
@@ -296,16 +303,19 @@ def _near(registers: int, similarity: float):
     return near
 
 
-def _across(placed: DataFrame, split: DataFrame, few: DataFrame, near) -> DataFrame:
+def _across(placed: DataFrame, split: DataFrame, marks: DataFrame, near, bands: int) -> DataFrame:
     """Pairs of one bucket in different components: members outside the bucket's main component with
     all others. Work per bucket: its size times what the rounds have left outside, a few bit
     operations each; only near pairs leave the join."""
-    open_ = placed.join(split, "key").join(few, "digest")
+    open_ = placed.join(split, "key").join(marks, "digest")
     main = open_.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     open_ = open_.join(main, "key")
-    minor = open_.where("label != main").select("key", F.col("digest").alias("b"), F.col("label").alias("lb"), F.col("few").alias("fb"))
-    every = open_.select("key", F.col("digest").alias("a"), F.col("label").alias("la"), "main", F.col("few").alias("fa"))
-    return minor.withColumnRenamed("key", "k2").join(every, (F.col("key") == F.col("k2")) & F.expr("la != lb and (la = main or a < b)") & near("fa", "fb")).select("a", "b")
+    minor = open_.where("label != main").select("key", F.col("digest").alias("b"), F.col("label").alias("lb"), F.col("few").alias("fb"), F.col("bands").alias("kb"))
+    every = open_.select("key", F.col("digest").alias("a"), F.col("label").alias("la"), "main", F.col("few").alias("fa"), F.col("bands").alias("ka"))
+    earlier = F.lit(False)
+    for k in range(bands):
+        earlier = earlier | ((F.get("ka", F.lit(k)) == F.get("kb", F.lit(k))) & (F.get("ka", F.lit(k)) < F.col("key")))
+    return minor.withColumnRenamed("key", "k2").join(every, (F.col("key") == F.col("k2")) & F.expr("la != lb and (la = main or a < b)") & near("fa", "fb") & ~earlier).select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, **options) -> DataFrame:
