@@ -13,20 +13,28 @@ def posts(docs: DataFrame, body: str = "text", key: str = "doc_id", keep: tuple[
     """One row per distinct cleaned text of at least 50 words, that with the least key: key, ``keep``
     and the style features.
 
-    Features are made in the scan's stage; only they and a digest are exchanged, after a partial
-    aggregate. Add ``body`` to ``keep`` where the text itself is wanted.
+    Features are made once in the scan's stage. Texts with one digest have the same features, so a
+    hash aggregate of numbers is all that is exchanged; ``keep`` joins by key.
     """
-    out = docs.withColumn("cleaned_text", X.clean_markdown(body)).withColumn("word_count", X.word_count("cleaned_text")).where(F.col("word_count") >= C.MIN_WORDS)
+    out = docs.select(key, X.clean_markdown(body).alias("_t"))
+    out = out.withColumn("_w", X.words("_t")).withColumn("_low", F.lower("_t")).withColumn("_n", F.size("_w"))
+    # words between spaces and full stops, over the stretches between full stops that hold any
+    stretches = F.size(F.filter(F.split("_t", r"\."), lambda s: F.trim(s) != ""))
+    said = F.size(F.filter(F.split("_t", r"[\s.]+"), lambda w: w != ""))
+    b2b = F.lit(False)
+    for word in C.B2B_KEYWORDS:
+        b2b = b2b | F.contains(F.col("_low"), F.lit(word))
     columns = {
-        "word_count": F.col("word_count"),
-        "avg_sentence_length": X.avg_sentence_length("cleaned_text"),
-        "vocabulary_richness": X.vocabulary_richness("cleaned_text"),
-        "question_count": X.question_count("cleaned_text"),
-        "formality_score": X.formality("cleaned_text"),
-        "is_b2b": X.is_b2b("cleaned_text"),
+        "word_count": F.col("_n"),
+        "avg_sentence_length": F.when(stretches > 0, said / stretches).otherwise(F.lit(0.0)),
+        "vocabulary_richness": F.when(F.col("_n") > 0, F.size(F.array_distinct(F.transform("_w", F.lower))) / F.col("_n")).otherwise(F.lit(0.0)),
+        "question_count": F.length("_t") - F.length(F.replace("_t", F.lit("?"), F.lit(""))),
+        "formality_score": F.when(F.col("_n") > 0, F.size(F.filter("_w", lambda w: F.length(w) >= 7)) / F.col("_n")).otherwise(F.lit(0.0)),
+        "is_b2b": b2b,
     }
-    row = F.struct(key, *keep, *(c.alias(n) for n, c in columns.items()))
-    return out.groupBy(F.md5("cleaned_text").alias("_d")).agg(F.min_by(row, key).alias("r")).select("r.*")
+    one = out.groupBy(F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), F.col("_t")).alias("_b")).agg(F.min(key).alias(key), *(F.any_value(c).alias(n) for n, c in columns.items()))
+    one = one.where(F.col("word_count") >= C.MIN_WORDS).drop("_a", "_b")
+    return one.join(docs.select(key, *keep).dropDuplicates([key]), key) if keep else one
 
 
 def style_profile(p: DataFrame, by: str = "source") -> DataFrame:

@@ -46,7 +46,8 @@ def framing(docs: DataFrame, c: str = "text", n: int = 15) -> DataFrame:
 def profile(docs: DataFrame, c: str = "text") -> DataFrame:
     """One row: ranked terms and counts, as nested columns."""
     ranked = lambda df, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "term"))), lambda x: x["term"]).alias(name))
-    w = content_words(c)
+    docs = docs.withColumn("_w", content_words(c))
+    w = F.col("_w")
     words = ranked(top_terms(terms(docs, w), 50), "top_words")
     pairs = ranked(top_terms(terms(docs, bigrams(w)), 20), "top_bigrams")
     start = ranked(top_terms(terms(docs, starters(c)), 20), "starters")

@@ -203,7 +203,8 @@ def top_content_words(spark, d):
 @query(f"""with w as (select {_LETTERS} as w from documents) select term, count(*) as n from
 (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from w) group by 1 order by 2 desc, 1 limit 20""")
 def content_bigrams(spark, d):
-    return A.top_terms(P.terms(read(spark, d, "documents"), P.bigrams(P.content_words("text"))), 20)
+    docs = read(spark, d, "documents").select(P.content_words("text").alias("w"))
+    return A.top_terms(P.terms(docs, P.bigrams(F.col("w"))), 20)
 
 
 @query(rf"""with s as (select unnest(string_split_regex(coalesce(text, ''), '[.!?]\s+|\n+')) as s from documents), w as (select {words("lower(s)")} as w from s)
