@@ -20,6 +20,16 @@ def text(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """0 where there is nothing to divide by."""
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
 def words(c: str | Column, space: str = SPACE) -> Column:
     """Tokens between white space; no empty ones."""
     return F.filter(F.split(text(c), space), lambda w: w != "")
@@ -37,15 +47,12 @@ def split_count(c: str | Column) -> Column:
 def avg_sentence_length(c: str | Column) -> Column:
     """Mean words of the stretches between full stops that are not blank; 0 where there are none."""
     n = F.transform(F.split(text(c), r"\."), lambda s: F.size(words(s)))
-    n = F.filter(n, lambda k: k > 0)
-    total = F.aggregate(n, F.lit(0), lambda a, k: a + k)
-    return F.when(F.size(n) > 0, total / F.size(n)).otherwise(F.lit(0.0))
+    return let(F.filter(n, lambda k: k > 0), lambda m: ratio(F.aggregate(m, F.lit(0), lambda a, k: a + k), F.size(m)))
 
 
 def vocabulary_richness(c: str | Column) -> Column:
     """Distinct lower-cased tokens over tokens."""
-    w = words(F.lower(text(c)))
-    return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
+    return let(words(F.lower(text(c))), lambda w: ratio(F.size(F.array_distinct(w)), F.size(w)))
 
 
 def question_count(c: str | Column) -> Column:
@@ -54,17 +61,19 @@ def question_count(c: str | Column) -> Column:
 
 def formality(c: str | Column) -> Column:
     """Share of tokens of seven characters or more."""
-    w = words(c)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) >= 7)) / F.size(w)).otherwise(F.lit(0.0))
+    return let(words(c), lambda w: ratio(F.size(F.filter(w, lambda x: F.length(x) >= 7)), F.size(w)))
 
 
 def has_any(c: str | Column, phrases: tuple[str, ...]) -> Column:
     """Whether the lower-cased text holds one of the phrases."""
-    low = F.lower(text(c))
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(low, F.lit(p))
-    return out
+
+    def any_of(low: Column) -> Column:
+        out = F.lit(False)
+        for p in phrases:
+            out = out | F.contains(low, F.lit(p))
+        return out
+
+    return let(F.lower(text(c)), any_of)
 
 
 def is_b2b(c: str | Column) -> Column:
@@ -73,14 +82,12 @@ def is_b2b(c: str | Column) -> Column:
 
 def cap_rate(c: str | Column) -> Column:
     """Share of tokens that begin with an upper-case letter."""
-    w = words(c)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}"))) / F.size(w)).otherwise(F.lit(0.0))
+    return let(words(c), lambda w: ratio(F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}"))), F.size(w)))
 
 
 def punct_rate(c: str | Column) -> Column:
     """Sentence marks per token."""
-    n = word_count(c)
-    return F.when(n > 0, F.regexp_count(text(c), F.lit("[.!?]")) / n).otherwise(F.lit(0.0))
+    return let(word_count(c), lambda n: ratio(F.regexp_count(text(c), F.lit("[.!?]")), n))
 
 
 def share(c: str | Column, chars: str) -> Column:
@@ -276,8 +283,7 @@ def vtt_text(c: str | Column) -> Column:
     it is left out."""
     lines = F.transform(F.split(text(c), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>", "")))
     said = F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit("-->")) & ~x.rlike(r"^(WEBVTT|NOTE|Kind:|Language:|STYLE)") & ~x.rlike(r"^\d+$"))
-    kept = F.filter(said, lambda x, i: (i == 0) | (x != F.get(said, i - 1)))
-    return F.array_join(kept, " ")
+    return let(said, lambda s: F.array_join(F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))), " "))
 
 
 def sentences(c: str | Column) -> Column:

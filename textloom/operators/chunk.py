@@ -10,11 +10,14 @@ from textloom.functions import udfs
 from textloom.plans import config as C
 
 
-def windows(w: Column, size: int, step: int) -> Column:
+def windows(words: Column, size: int, step: int) -> Column:
     """Texts of the windows of ``size`` words that start every ``step`` words."""
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))
-    return F.when(n > 0, F.transform(starts, lambda k: F.array_join(F.slice(w, k * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / step).cast("int"))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda k: F.array_join(F.slice(w, k * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return X.let(words, cut)
 
 
 def fixed(c: str | Column, size: int = C.CHUNK_WORDS) -> Column:
@@ -25,8 +28,7 @@ def fixed(c: str | Column, size: int = C.CHUNK_WORDS) -> Column:
 def overlapping(c: str | Column, size: int = C.CHUNK_WORDS, overlap: int = C.CHUNK_OVERLAP) -> Column:
     """A text of up to ``size`` words as it is; else windows that share ``overlap`` words, the last of
     which may lie inside the one before."""
-    w = X.words(c)
-    return F.when(F.size(w) <= size, F.array(X.text(c))).otherwise(windows(w, size, size - overlap))
+    return X.let(X.words(c), lambda w: F.when(F.size(w) <= size, F.array(X.text(c))).otherwise(windows(w, size, size - overlap)))
 
 
 def punctuation_windows(c: str | Column, size: int = 200, overlap: int = 5) -> Column:

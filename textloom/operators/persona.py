@@ -24,8 +24,13 @@ def content_words(c: str) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(X.text(c)), F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*C.STOP_WORDS))
 
 
-def bigrams(w: Column) -> Column:
-    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+def bigrams(words: Column) -> Column:
+    none = F.array().cast("array<string>")
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+    return X.let(words, lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(none))
 
 
 def starters(c: str) -> Column:

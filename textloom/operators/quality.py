@@ -41,14 +41,15 @@ def is_junk(instr: str | Column, out: str | Column) -> Column:
 def body_class(c: str | Column) -> Column:
     """``transcript``, ``blog``, ``tweet`` or ``other`` by casing, marks and length."""
     t = X.text(c)
-    cap, punct = X.cap_rate(c), X.punct_rate(c)
     long_ = F.contains(t, F.lit("\n")) | (F.length(t) > 600)
-    return (
-        F.when(F.length(t) < C.MIN_CHARS, "other")
-        .when((cap < 0.05) & (punct < 0.02), "transcript")
-        .when((cap >= 0.05) & (punct >= 0.02), F.when(long_, "blog").otherwise("tweet"))
-        .otherwise("other")
-    )
+    rates = F.struct(X.cap_rate(c).alias("cap"), X.punct_rate(c).alias("punct"))
+
+    def by_rates(r: Column) -> Column:
+        spoken = (r["cap"] < 0.05) & (r["punct"] < 0.02)
+        written = (r["cap"] >= 0.05) & (r["punct"] >= 0.02)
+        return F.when(spoken, "transcript").when(written, F.when(long_, "blog").otherwise("tweet")).otherwise("other")
+
+    return F.when(F.length(t) < C.MIN_CHARS, "other").otherwise(X.let(rates, by_rates))
 
 
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}]"
