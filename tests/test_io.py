@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import joins
+from textloom.operators import analytics, joins
 from textloom.operators import vector as V
 from textloom.plans import prompts
 from textloom.sources import readers, writers
@@ -115,12 +115,21 @@ def test_prompts():
     assert prompts.persona_query("q", profile) == "q t a b"
     with pytest.raises(KeyError):
         prompts.load_spec({"a": {}}, "b")
+    got = prompts.trace(V.EchoGenerator(), profile, {}, {"id": "1", "topic": "T"}, [{"doc_id": "d", "source": "s", "text": "c"}])
+    assert got["contexts"] == ["c"] and got["answer"] == "Topic: T" and got["id"] == "1"
     assert prompts.generate(V.EchoGenerator(), "x\ny", 2, len) == "y"
     assert '"tone": 0' in prompts.judge_prompt("a", ("tone",))
 
 
 def test_validation_gate(spark):
     df = spark.range(3)
-    with pytest.raises(Exception):
-        df.agg(F.assert_true(F.count("*") >= 20)).collect()
-    assert df.agg(F.assert_true(F.count("*") >= 3)).count() == 1
+    with pytest.raises(ValueError):
+        analytics.require_rows(df, F.col("id") >= 0, 20)
+    assert analytics.require_rows(df, F.col("id") > 0, 2) == 2
+
+
+def test_anchor_texts(spark):
+    body = "word " * 40
+    rows = [(1, None, body + "\nRelated Posts\nx"), (2, " ", body + "\nRelated Posts\ny"), (3, "short", body), (4, "other " * 33, None)]
+    got = readers.anchor_texts(spark.createDataFrame(rows, "n int, output string, text string"), "n").collect()
+    assert [(r["n"], r["anchor"]) for r in got] == [(1, body.strip()), (4, ("other " * 33).strip())]

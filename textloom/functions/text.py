@@ -223,6 +223,12 @@ def user_text(instr: str | Column, inp: str | Column) -> Column:
     return F.when(i != "", F.concat(F.trim(text(instr)), F.lit("\n\n"), i)).otherwise(F.trim(text(instr)))
 
 
+def chat_text(instr: str | Column, inp: str | Column, out: str | Column) -> Column:
+    """A row in the public Llama 3 chat format."""
+    turn = lambda who, t: F.concat(F.lit(f"<|start_header_id|>{who}<|end_header_id|>\n\n"), t, F.lit("<|eot_id|>"))
+    return F.concat(F.lit("<|begin_of_text|>"), turn("user", user_text(instr, inp)), turn("assistant", F.trim(text(out))))
+
+
 def json_object(c: str | Column) -> Column:
     """From the first brace to the last, fences aside; empty if there is none."""
     return F.regexp_extract(F.regexp_replace(text(c), r"```(?:json)?", ""), r"(?s)\{.*\}", 0)

@@ -148,3 +148,11 @@ def collection_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Last write wins."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
     return both.groupBy(key).agg(F.max_by(F.struct(*[c for c in old.columns if c != key]), "_v").alias("r")).select(key, "r.*")
+
+
+def require_rows(rows: DataFrame, condition: Column, least: int) -> int:
+    """How many rows meet a condition; fails if they are too few."""
+    n = rows.agg(F.count_if(condition)).first()[0]
+    if n < least:
+        raise ValueError(f"{n} rows, {least} are needed")
+    return n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +14,13 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 
 
+class Scorer(Protocol):
+    """What scores texts against references with a model of its own (semantic similarity, faithfulness);
+    an external model stands behind this."""
+
+    def score(self, texts: list[str], references: list[list[str]]) -> list[float]: ...
+
+
 def authorship(train: DataFrame, candidates: DataFrame, body: str, label: str, key: str, features: int = 5000, least_df: float = 1.0) -> DataFrame:
     """(key, p_author): TF-IDF and logistic regression with an L2 penalty of one in n."""
     n = max(1, train.count())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from textloom.operators.vector import Generator
 
@@ -55,3 +56,15 @@ def generate(generator: Generator, prompt: str, drafts: int = 1, score=None) ->
     """The best of some drafts."""
     texts = [generator.generate(prompt) for _ in range(drafts)]
     return max(texts, key=score) if score else texts[0]
+
+
+def trace(generator: Generator, profile: dict, spec: dict, request: dict, contexts: list[dict]) -> dict:
+    """What a request saw and gave, for evaluation; ``contexts`` have ``doc_id``, ``source``, ``text``."""
+    query = query_text(request.get("topic", ""), request.get("goal", ""), request.get("audience", ""))
+    prompt = build_prompt(profile, spec, "\n\n".join(c["text"] for c in contexts), request)
+    began = time.monotonic()
+    answer = generate(generator, prompt)
+    return request | {
+        "query": query, "contexts": [c["text"] for c in contexts], "context_meta": [{"doc_id": c["doc_id"], "source": c["source"]} for c in contexts],
+        "answer": answer, "prompt_chars": len(prompt), "answer_chars": len(answer), "latency_seconds": round(time.monotonic() - began, 3),
+    }

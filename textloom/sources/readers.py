@@ -47,6 +47,17 @@ def eval_set(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def anchor_texts(rows: DataFrame, order: str, most: int = 400, least_words: int = 32) -> DataFrame:
+    """Texts that show a style: the first of output, content, text and body that is not blank, without
+    a list of related posts at its end; long enough, one per beginning, the first ``most``."""
+    fields = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("output", "content", "text", "body") if c in rows.columns]
+    at = F.locate("\nrelated posts", F.lower("anchor"))
+    out = rows.select(order, F.coalesce(*fields).alias("anchor")).where("anchor is not null")
+    out = out.withColumn("anchor", F.when(at > 121, F.trim(F.left("anchor", at - 1))).otherwise(F.col("anchor"))).where(X.word_count("anchor") >= least_words)
+    key = F.left(F.sha2(F.left("anchor", F.lit(240)), 256), F.lit(16))
+    return out.groupBy(key.alias("k")).agg(F.min(F.struct(order, "anchor")).alias("r")).select("r.*").orderBy(order).limit(most)
+
+
 def objects(spark: SparkSession, path: str, suffix: str = "*.json") -> DataFrame:
     """Whole objects of a folder by name; names that begin with _ are not read."""
     return spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("body"))
