@@ -12,6 +12,7 @@ import re
 import urllib.parse
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,37 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_inside_lines(spark):
+    """Sentences of long lines: against all runs, and against the SQL with sentence ends put in."""
+    cut, rng = re.compile(r"(?<=\n)|(?<=[.!?] )"), random.Random(17)
+    pool = [prose(rng, rng.choice([1, 3, 8, 14, 26])) + rng.choice(".!?") for _ in range(12)]
+    texts = [(i, "".join(rng.choice([*pool, prose(rng, 7) + "."]) + rng.choice([" ", " ", " ", "\n"]) for _ in range(rng.randint(1, 16)))) for i in range(40)]
+    passage = " ".join(prose(rng, 12) + "." for _ in range(5))
+    texts += [(90, f"{prose(rng, 30)}. {passage} {prose(rng, 9)}."), (91, f"{prose(rng, 8)}. {passage} {prose(rng, 40)}.")]
+    seen, expected = set(), []
+    for _, t in texts:
+        parts = cut.split(t)
+        own = [(p, x.strip(" \n\r\t")) for p, x in enumerate(parts) if x.strip(" \n\r\t")]
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                run = tuple(x for _, x in own[a : b + 1])
+                if sum(x.count(" ") + 1 for x in run) >= line_dedup.MIN_WORDS:
+                    if run in seen:
+                        gone.update(range(own[a][0], own[b][0] + 1))
+                    seen.add(run)
+        expected.append("".join(x for p, x in enumerate(parts) if p not in gone))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i, _ in texts] == expected
+    assert passage in got[90] and not any(s in got[91] for s in cut.split(passage))
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, text varchar)")
+    duck.executemany("insert into documents values (?, ?)", texts)
+    sql = line_dedup.OP10_SQL.replace(r"'(\n)'", r"'(\n|[.!?] )'")
+    assert sql != line_dedup.OP10_SQL
+    assert got == {r[0]: r[1] for r in duck.execute(sql).fetchall()}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

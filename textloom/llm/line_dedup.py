@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes, in built-in functions only.
 
-A line ends at a line break (``boundary`` can cut finer, for instance at sentence ends, at a cost
-that grows with the number of lines). Lines are compared without the white space around them; blank
+A line ends at a line break or, so that passages inside long lines are found too, after a sentence
+(``.``, ``!`` or ``?`` with a space). Lines are compared without the white space around them; blank
 ones do not count. A window is the fewest lines in a row from some line on (forward) or up to some
 line (backward) that have ``min_words`` words together.
 
@@ -10,9 +10,10 @@ line (backward) that have ``min_words`` words together.
    repeated holds a whole window, so both places have its fingerprint (the winnowing guarantee).
 2. Fingerprints found in two places or more go into a Bloom filter (within ``max_bits``; beyond, all
    windows go on, with the same result).
-3. Extension both ways: around lines that hit the filter, forward and backward windows are keyed by
-   a digest of all their lines. Every line of a repeated run lies in a forward or a backward window
-   inside that run, so the windows together reach exactly as far as the run does.
+3. Extension both ways: forward windows whose fingerprint hits the filter, and backward windows with
+   a line that does, are keyed by a digest of all their lines. Every line of a repeated run lies in a
+   forward or a backward window inside that run, so the windows together reach exactly as far as the
+   run does.
 4. The first place of each digest, by (id, text hash, line), is found by an aggregate; windows with
    an earlier place are later repeats. Their union is deleted. No pairs of places are formed.
 
@@ -34,26 +35,23 @@ from textloom.llm.common import materialize, table, text_or_empty
 from textloom.llm.url_filter import bloom_filter_parts
 
 MIN_WORDS = 25
-BOUNDARY = r"(?<=\n)"
+BOUNDARY = r"(?<=\n)|(?<=[.!?] )"
 #: Lines looked at for a window before, in texts of very short lines, ``min_words`` of them are.
 NEAR = 8
 
 _LINES = "transform(_ld_u, (x, i) -> named_struct('p', i, 'y', btrim(x, ' \\n\\r\\t')))"
 _KEPT = "transform(transform(filter({lines}, u -> u.y != ''), u -> named_struct('p', u.p, 'h', xxhash64(u.y), 'w', length(u.y) - length(replace(u.y, ' ', '')) + 1)), u -> named_struct('p', u.p, 'h', u.h, 'w', u.w, 'k', shiftrightunsigned(u.h, 2) + if(u.w < 5, 4611686018427387904L, 0L)))"
-_TOTAL = "aggregate({s}, 0, (a, u) -> a + u.w)"
-_WINDOW = """aggregate({s}, named_struct('w', 0, 'd', cast({seed} as bigint), 'm', 9223372036854775807L, 'mp', -1, 'q', -1, 'r', false),
-  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'd', xxhash64(a.d, u.h), 'm', least(a.m, u.k), 'mp', if(u.k < a.m, u.p, a.mp), 'q', u.p, 'r', a.r or {r})))"""
+_LEAST = """aggregate({s}, named_struct('w', 0, 'm', 9223372036854775807L, 'mp', -1),
+  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'm', least(a.m, u.k), 'mp', if(u.k < a.m, u.p, a.mp))))"""
+_WINDOW = """aggregate({s}, named_struct('w', 0, 'd', cast({seed} as bigint), 'm', 9223372036854775807L, 'q', -1, 'r', false),
+  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'd', xxhash64(a.d, u.h), 'm', least(a.m, u.k), 'q', u.p, 'r', {r})))"""
+_AHEAD, _BACK = "slice(_ld_k, i, {n})", "reverse(slice(_ld_k, greatest(1, i - {n} + 1), least(i, {n})))"
 
 
-def _both_ways(t: int, hit: str) -> tuple[str, str]:
-    """Forward and backward windows of line i (from 1) of _ld_k, as SQL."""
-    ahead, back = "slice(_ld_k, i, {n})", "reverse(slice(_ld_k, greatest(1, i - {n} + 1), least(i, {n})))"
-    out = []
-    for seed, s in enumerate((ahead, back)):
-        near, far = s.format(n=NEAR), s.format(n=t)
-        cols = {"seed": seed, "t": t, "r": hit}
-        out.append(f"if({_TOTAL.format(s=near)} >= {t}, {_WINDOW.format(s=near, **cols)}, {_WINDOW.format(s=far, **cols)})" if t > NEAR else _WINDOW.format(s=far, **cols))
-    return out[0], out[1]
+def _window(t: int, lines: str, window: str, **cols) -> str:
+    """The window of line i (from 1) of _ld_k, as SQL."""
+    near, far = (window.format(s=lines.format(n=n), t=t, **cols) for n in (NEAR, t))
+    return f"transform(array({near}), x -> if(x.w >= {t}, x, {far}))[0]" if t > NEAR else far
 
 
 def _with_lines(docs: DataFrame, boundary: str) -> DataFrame:
@@ -70,14 +68,18 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line number, disjoint and in order."""
     base = _with_lines(_prepared(docs, id_col, text_col).select("_ld_id", "_ld_h", "_ld_t"), boundary)
     each = "if(size(_ld_k) = 0, array(), transform(sequence(1, size(_ld_k)), i -> {x}))"
-    ahead, _ = _both_ways(min_words, "false")
-    marks = base.select(F.explode(F.expr(f"array_distinct(transform(filter({each.format(x=ahead)}, x -> x.w >= {min_words}), x -> named_struct('m', x.m, 'mp', x.mp)))")).alias("x"))
-    repeated = materialize(marks.select(F.col("x.m").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    least = each.format(x=_window(min_words, _AHEAD, _LEAST))
+    # the place of the least hash never moves back, so equal ones are neighbours
+    once = f"transform(array(filter({least}, x -> x.w >= {min_words})), v -> filter(v, (x, k) -> k = 0 or x.mp != v[greatest(k - 1, 0)].mp))[0]"
+    marks = base.select(F.explode(F.expr(f"transform({once}, x -> x.m)")).alias("key"))
+    repeated = materialize(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
     words, maybe = bloom_filter_parts(repeated, max_bits)
     if maybe:
         base = base.withColumn("_ld_f", words).withColumn("_ld_k", F.transform("_ld_k", lambda u: F.struct(u["p"].alias("p"), u["h"].alias("h"), u["w"].alias("w"), u["k"].alias("k"), maybe(u["k"], F.col("_ld_f")).alias("r"))))
         base = base.where(F.exists("_ld_k", lambda u: u["r"]))
-    ahead, back = _both_ways(min_words, "u.r" if maybe else "true")
+    # a forward window repeats only if its own fingerprint does; a backward one holds such a window
+    ahead = _window(min_words, _AHEAD, _WINDOW, seed=0, r="if(u.k < a.m, u.r, a.r)" if maybe else "true")
+    back = _window(min_words, _BACK, _WINDOW, seed=1, r="a.r or u.r" if maybe else "true")
     keep = f"filter({each}, x -> x.w >= {min_words} and x.r)"
     # of a forward window q is the last line and i the first; a backward one the other way round
     first = "named_struct('w', x.w, 'r', x.r, 'd', x.d, 's', _ld_k[i - 1].p, 'e', x.q)"
@@ -123,7 +125,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: The definition, line by line: every window as a list of lines, its first place, the union of the others.
+#: The definition by line breaks only, which deletes less than the operator (it lacks the sentence
+#: ends): every window as a list of lines, its first place, the union of the others.
 OP10_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 u as (select doc_id, t, unnest(list_zip(p, range(len(p)))) as z
