@@ -105,6 +105,21 @@ def test_near_dedup_against_all_pairs(spark, odd):
     assert got == expected
 
 
+def test_near_dedup_of_uneven_repeats(spark):
+    """Texts that differ in how often a passage repeats have nearly the same shingle set."""
+    rng, texts = random.Random(29), []
+    for k in range(40):
+        words = prose(rng, 100).split()
+        often = 20 if k % 2 else 100
+        texts.append((2 * k, " ".join(words)))
+        texts.append((2 * k + 1, " ".join(words[:40] + words[40:70] * often + words[70:])))
+    s = [sets(t) for _, t in texts]
+    pairs = [k for k in range(40) if len(s[2 * k] & s[2 * k + 1]) / len(s[2 * k] | s[2 * k + 1]) >= 0.9]
+    assert len(pairs) == 40
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i, _ in texts}
+
+
 def test_near_dedup_keeps_one(spark, odd):
     df = docs(spark, odd)
     out = near_dedup.keep_one(df)

@@ -1,12 +1,13 @@
-"""Near-duplicate classes by ProbMinHash over weighted shingles, banding and exact verification.
+"""Near-duplicate classes by ProbMinHash over sets of shingles, banding and exact verification.
 
 Words are what ASCII white space parts, lower-cased; a shingle is five words (a shorter text is one
-shingle of all its words), weighted by 1 + ln(times it occurs).
+shingle of all its words). How often a text has a shingle does not count: signatures, the limit on
+registers and the verdict all go by the Jaccard similarity of the sets.
 
 1. Texts with the same words are one group, found by a 64-bit digest; one member's text stands for it.
-2. Signatures: shingle d sends arrivals of a Poisson process with rate w(d), each to a random
+2. Signatures: shingle d sends arrivals of a Poisson process with rate 1, each to a random
    register, which keeps the first to arrive; a shingle stops as soon as its next arrival is later
-   than the latest register (early termination). Two registers are equal with the probability
+   than the latest register (early termination). Two registers are equal with the probability of the
    Jaccard similarity. All shingles of a batch of texts go through the rounds together.
 3. Banding: 27 keys of 7 registers. At a similarity of 0.8 a pair shares a key with probability 0.998.
 4. Verification of groups that share a key, by the Jaccard similarity of the shingle sets:
@@ -157,8 +158,8 @@ def sign(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 for a, b in batches_of(texts):
                     n = b - a
                     hashes, counts = word_hashes(texts[a:b])
-                    own, key, times = shingles(hashes, counts, words)
-                    sig = signatures(own, key, times, n, rows * bands)
+                    own, key, _ = shingles(hashes, counts, words)
+                    sig = signatures(own, key, np.ones(len(key), np.int64), n, rows * bands)
                     few = np.zeros((n, -(-rows * bands // 16) * 16), np.uint8)
                     few[:, : rows * bands] = mix(sig) >> _u(60)
                     few = (few[:, ::2] << 4 | few[:, 1::2]).view(np.int64)
