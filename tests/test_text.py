@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import chunk
 from textloom.operators import quality as Q
+from textloom.plans import catalogue
 from textloom.plans import config as C
 
 
@@ -145,3 +147,20 @@ def test_word_count_is_python_split(spark):
 
 def test_chunk_size_for_a_sequence():
     assert C.chunk_chars_for(512) == int(132 * 3.2) and C.chunk_chars_for(100) == int(64 * 3.2)
+
+
+@pytest.mark.parametrize("name", ["clean_text_markdown", "collector_clean", "scrub_urls_fillers", "transcript_markup_scrub"])
+def test_cleaning_reads_whole_texts(spark, tmp_path, name):
+    """Against the SQL without its cut, on texts that go on after it."""
+    tail = " **bold** [a](/b) https://x.io/q um, uh the end [Music]  of it &amp; more"
+    texts = [None, "", "short", "word " * 59 + tail, ("long words, " * 60 + tail + "\n\n\n") * 3]
+    duck = duckdb.connect()
+    for table, keys in (("documents", "doc_id bigint"), ("conversations", "conv_id bigint, turn bigint")):
+        rows = [(*[i] * (keys.count(",") + 1), t) for i, t in enumerate(texts) if t is not None or table == "documents"]
+        spark.createDataFrame(rows, f"{keys}, text string").write.parquet(f"{tmp_path}/{table}.parquet")
+        duck.execute(f"create table {table} ({keys}, text varchar)")
+        duck.executemany(f"insert into {table} values ({', '.join('?' * len(rows[0]))})", rows)
+    sql, n = re.subn(r"left\((coalesce\(text, ''\)|text), \d+\)", r"\1", catalogue.oracle_sql()[name])
+    assert n >= 1
+    got = sorted((tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(duck.execute(sql).fetchall(), key=repr)

@@ -12,19 +12,21 @@ from textloom.plans import config as C
 from textloom.plans.registry import cap, clean_markdown, count, punct, query, quoted, read
 from textloom.sources import readers
 
+#: What the queries clean: whole texts. The SQL still cleans their first 300 or 400 characters only.
+_WHOLE = "coalesce(text, '')"
 _MARKED = "concat('**', left(coalesce(text, ''), 300), '** [here](/p/', doc_id, ') [out](https://x.io/a) now &amp; `code` __x__ &lt;b&gt; &nbsp; AT&amp;T')"
 
 
 @query(f"select doc_id, {clean_markdown(_MARKED)} as cleaned_text from documents")
 def clean_text_markdown(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED).alias("m"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED.replace("left(coalesce(text, ''), 300)", _WHOLE)).alias("m"))
     return docs.select("doc_id", X.clean_markdown("m").alias("cleaned_text"))
 
 
 @query(rf"""with m as (select doc_id, {_MARKED} as m from documents)
 select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(m, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '(\*\*|~~|`|##+|__)', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'g'), '\s+', ' ', 'g')) as cleaned_text from m""")
 def collector_clean(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED).alias("m"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED.replace("left(coalesce(text, ''), 300)", _WHOLE)).alias("m"))
     return docs.select("doc_id", X.clean_collected("m").alias("cleaned_text"))
 
 
@@ -34,7 +36,7 @@ _SPOKEN = "concat('Um, so uh we went ahead hmm. see https://a.io/x?y=1 or t.co/a
 @query(rf"""with s as (select doc_id, {_SPOKEN} as s from documents)
 select doc_id, regexp_replace(regexp_replace(s, '{C.URLS}', '', 'g'), '{C.FILLERS}', '', 'g') as scrubbed, len(regexp_extract_all(s, '{C.FILLERS}')) as n_fillers from s""")
 def scrub_urls_fillers(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.expr(_SPOKEN).alias("s"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_SPOKEN.replace("left(coalesce(text, ''), 400)", _WHOLE)).alias("s"))
     return docs.select("doc_id", X.scrub_fillers(X.scrub_urls("s")).alias("scrubbed"), X.filler_count("s").cast("long").alias("n_fillers"))
 
 
@@ -50,7 +52,7 @@ _TAGGED = "concat('[Music]  Hello   there [loud applause] ', left(text, 300), ch
 @query(rf"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TAGGED}, '{C.STAGE_TAGS}', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'),
 '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') as plain from conversations""")
 def transcript_markup_scrub(spark, d):
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.expr(_TAGGED).alias("t"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.expr(_TAGGED.replace("left(text, 300)", "text")).alias("t"))
     return c.select("conv_id", "turn", X.scrub_stage_tags("t").alias("plain"))
 
 
