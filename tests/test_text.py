@@ -164,3 +164,31 @@ def test_cleaning_reads_whole_texts(spark, tmp_path, name):
     assert n >= 1
     got = sorted((tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted(duck.execute(sql).fetchall(), key=repr)
+
+
+def test_best_scores_read_all_references_whole(spark, tmp_path):
+    """Copies that stand late in a text, in another language, in a late or short document."""
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randint(0, 60)}" for _ in range(n)]
+    refs = [(i, " ".join(words(60)), "en") for i in range(40)]
+    late, other, last, short = words(30), words(30), words(30), words(6)
+    refs += [(50, " ".join(words(900) + late), "en"), (51, " ".join(other), "de"), (99, " ".join(last), "en"), (100, " ".join(short), "fr"), (101, None, "en"), (102, "", "en")]
+    items = [(i, " ".join(t) if t is not None else None) for i, t in enumerate([late, other, last, short, words(40), ["absent"], [], None])]
+    spark.createDataFrame(refs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    got = {r["item_id"]: (r["bleu"], r["rouge_l"]) for r in catalogue.queries()["best_of_k_scores"](spark, str(tmp_path)).collect()}
+    for i, t in items:
+        a, bs = (t or "").split(), [(r or "").split() for _, r, _ in refs]
+        bleu = max(udfs.sentence_bleu(a, b) for b in bs)
+        rouge = max((2 * common(a, b) / (len(a) + len(b)) for b in bs if a), default=0.0)
+        assert got[i] == pytest.approx((bleu, rouge), abs=1e-6)
+    assert [got[i][1] for i in (1, 2, 3)] == [1.0] * 3 and got[0][1] >= 60 / 960 and len(got) == len(items)

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 from math import exp, log
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.plans import config as C
@@ -219,25 +220,40 @@ def sentence_bleu(candidate: list[str], reference: list[str]) -> float:
 
 
 def rouge_l(candidate: list[str], reference: list[str]) -> float:
-    """F measure of the longest common subsequence."""
+    """F measure of the longest common subsequence, found bit-parallel."""
     if not candidate or not reference:
         return 0.0
-    row = [0] * (len(reference) + 1)
-    for a in candidate:
-        before = 0
-        for j, b in enumerate(reference, 1):
-            before, row[j] = row[j], before + 1 if a == b else max(row[j], row[j - 1])
-    p, r = row[-1] / len(candidate), row[-1] / len(reference)
+    places: dict[str, int] = {}
+    for k, a in enumerate(candidate):
+        places[a] = places.get(a, 0) | 1 << k
+    every = (1 << len(candidate)) - 1
+    row = every
+    for b in reference:
+        hit = row & places.get(b, 0)
+        row = (row + hit | row - hit) & every
+    common = len(candidate) - row.bit_count()
+    p, r = common / len(candidate), common / len(reference)
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
-def best_scores(references: list[str]):
-    """Best BLEU and ROUGE-L over a bounded list of references."""
-    refs = [re.findall(r"\w+", r.lower()) for r in references]
-
-    @F.pandas_udf("bleu double, rouge_l double")
-    def run(s: pd.Series) -> pd.DataFrame:
-        toks = [re.findall(r"\w+", (t or "").lower()) for t in s]
-        return pd.DataFrame({"bleu": [max((sentence_bleu(t, r) for r in refs), default=0.0) for t in toks], "rouge_l": [max((rouge_l(t, r) for r in refs), default=0.0) for t in toks]})
+def best_scores(items: list[str]):
+    """For ``mapInArrow`` over reference texts: (n, bleu, rouge_l), of each item, by its place in the
+    bounded list, the best over the references of a task."""
+
+    def words(t: str | None) -> list[str]:
+        return re.findall(r"\w+", (t or "").lower())
+
+    def run(batches):
+        toks = [words(t) for t in items]
+        bleu, rouge = [0.0] * len(toks), [0.0] * len(toks)
+        for batch in batches:
+            for text in batch.column(0):
+                r = words(text.as_py())
+                known = set(r)
+                for n, t in enumerate(toks):
+                    if not known.isdisjoint(t):
+                        bleu[n] = max(bleu[n], sentence_bleu(t, r))
+                        rouge[n] = max(rouge[n], rouge_l(t, r))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(toks)), pa.int64()), pa.array(bleu, pa.float64()), pa.array(rouge, pa.float64())], names=["n", "bleu", "rouge_l"])
 
     return run
