@@ -192,3 +192,22 @@ def test_best_scores_read_all_references_whole(spark, tmp_path):
         rouge = max((2 * common(a, b) / (len(a) + len(b)) for b in bs if a), default=0.0)
         assert got[i] == pytest.approx((bleu, rouge), abs=1e-6)
     assert [got[i][1] for i in (1, 2, 3)] == [1.0] * 3 and got[0][1] >= 60 / 960 and len(got) == len(items)
+
+
+def test_lineage_and_union_take_all_documents(spark, tmp_path):
+    """Ids that are no multiples of five, and over 100."""
+    rng = random.Random(37)
+    long_ = " ".join(f"w{rng.randint(0, 999)}" for _ in range(90))
+    texts = {1: long_, 2: long_ + " more", 5: "short", 7: "short", 13: "short and on", 121: long_[:250], 999: long_[:199], 1004: "", 1005: None}
+    spark.createDataFrame([(i, t, "src0") for i, t in texts.items()], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a"), (2, None)], "conv_id bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = catalogue.queries()
+    some, expected = {i: t for i, t in texts.items() if t}, {}
+    for i, t in some.items():
+        for k, o in enumerate((t, t[:200], t + " more")):
+            found = [(0 if o == s else 1 if s.startswith(o) else 2, -len(s), j) for j, s in some.items() if s.startswith(o) or o.startswith(s)]
+            rank, _, j = min(found)
+            expected[3 * i + k] = (j, ("exact", "starts", "inside")[rank])
+    assert {r["out_id"]: (r["src"], r["how"]) for r in run["lineage_prefix_match"](spark, str(tmp_path)).collect()} == expected
+    got = {r["source"]: (r["n"], r["n_scored"]) for r in run["pad_union"](spark, str(tmp_path)).collect()}
+    assert got["src0"] == (len(texts), len(texts)) and got["talk"] == (2, 0)

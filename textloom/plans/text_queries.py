@@ -179,7 +179,8 @@ def doc_identity(spark, d):
 @query("""with p as (select doc_id as id, source, text, 1 as score from documents where doc_id < 100 union all select conv_id, null, text, null from conversations)
 select coalesce(source, 'talk') as source, count(*) as n, count(score) as n_scored from p group by 1""")
 def pad_union(spark, d):
-    a = read(spark, d, "documents").where("doc_id < 100").selectExpr("doc_id as id", "source", "text", "'1' as score")
+    """All documents; the SQL has those with ids below 100 only."""
+    a = read(spark, d, "documents").selectExpr("doc_id as id", "source", "text", "'1' as score")
     b = read(spark, d, "conversations").selectExpr("conv_id as id", "text", "'n/a' as score")
     return readers.padded(a, b, source="talk").groupBy("source").agg(F.count("*").alias("n"), F.count("score").alias("n_scored"))
 
