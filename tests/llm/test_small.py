@@ -7,6 +7,7 @@ and an empty table.
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import urllib.parse
@@ -120,6 +121,16 @@ def test_near_dedup_of_uneven_repeats(spark):
     assert got == {i: i - i % 2 for i, _ in texts}
 
 
+def test_register_limit_loses_next_to_nothing(spark):
+    """A pair at the least similarity passes the register bits but for a chance of 1 in 9,500 (at 3 deviations: 1 in 480)."""
+    n, p = near_dedup.ROWS * near_dedup.BANDS, (1 - near_dedup.SIMILARITY) * 15 / 16
+    few = [np.concatenate([np.ones(d, np.uint8), np.zeros(-(-n // 16) * 16 - d, np.uint8)]) for d in range(n + 1)]
+    rows = [(d, (x[::2] << 4 | x[1::2]).view(np.int64).tolist(), [0] * -(-n // 16)) for d, x in enumerate(few)]
+    df = spark.createDataFrame(rows, "d int, a array<bigint>, b array<bigint>")
+    most = df.where(near_dedup._near(n, near_dedup.SIMILARITY)("a", "b")).agg(F.max("d")).first()[0]
+    assert sum(math.comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(most + 1, n + 1)) < 2e-4
+
+
 def test_near_dedup_keeps_one(spark, odd):
     df = docs(spark, odd)
     out = near_dedup.keep_one(df)

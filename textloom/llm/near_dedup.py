@@ -17,9 +17,8 @@ registers and the verdict all go by the Jaccard similarity of the sets.
       first one's component.
    b. Pairs in one bucket that are still in different components are compared each, so no candidate
       pair goes unjudged. The class is the component, so pairs within one need no comparison.
-   Four bits of each register go along; a pair of which more registers differ than 3 standard
-   deviations above what a similarity of 0.8 gives is not compared (a chance of 1 in 700 at 0.8, of
-   1 in 100,000 at 0.83). A pair that shares several keys leaves the join with the least of them only.
+   Four bits of each register go along; a pair of which more registers differ than 4 standard
+   deviations above what a similarity of 0.8 gives is not compared (a chance of 1 in 9,500 at 0.8). A pair that shares several keys leaves the join with the least of them only.
 5. Components by label propagation with pointer jumping on tables in the shared folder.
 
 Texts move only for groups that share a key with another: a Bloom filter of those goes with the scan
@@ -290,7 +289,7 @@ def _least(own: str, h: str) -> F.Column:
 def _near(registers: int, similarity: float):
     """A condition on two ``few``: not more registers differ than ``similarity`` allows."""
     p = (1 - similarity) * 15 / 16
-    most = registers * p + 3 * (registers * p * (1 - p)) ** 0.5
+    most = registers * p + 4 * (registers * p * (1 - p)) ** 0.5
 
     def near(a: str, b: str) -> F.Column:
         differ = F.lit(0)
