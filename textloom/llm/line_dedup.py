@@ -5,15 +5,19 @@ A line ends at a line break or, so that passages inside long lines are found too
 ones do not count. A window is the fewest lines in a row from some line on (forward) or up to some
 line (backward) that have ``min_words`` words together.
 
-1. Fingerprints: in each forward window the least line hash (lines of fewer than five words, which
-   chance repeats, come last). Whatever run of ``min_words`` words is
-   repeated holds a whole window, so both places have its fingerprint (the winnowing guarantee).
-2. Fingerprints found in two places or more go into a Bloom filter (within ``max_bits``; beyond, all
-   windows go on, with the same result).
-3. Extension both ways: forward windows whose fingerprint hits the filter, and backward windows with
-   a line that does, are keyed by a digest of all their lines. Every line of a repeated run lies in a
-   forward or a backward window inside that run, so the windows together reach exactly as far as the
-   run does.
+Lines are rows, in order of their documents; what a window holds is a frame of a range of words, so
+all work is linear in the lines and runs in generated code.
+
+1. Fingerprints: each line has the digest of the fewest lines from it on that have ``SHINGLE`` words.
+   Of each forward window the least such digest that lies in it whole is a fingerprint. Whatever run
+   of ``min_words`` words is repeated holds a whole window, so both places have its fingerprint (the
+   winnowing guarantee).
+2. Fingerprints found in two places or more, and the documents they are in, go into Bloom filters
+   (within ``max_bits``; beyond, all documents and windows go on, with the same result).
+3. Extension both ways: in those documents, forward windows whose fingerprint is repeated, and
+   backward windows that begin with such a one, are keyed by a digest of all their lines (128 bits).
+   Every line of a repeated run lies in a forward or a backward window inside that run, so the windows
+   together reach exactly as far as the run does.
 4. The first place of each digest, by (id, text hash, line), is found by an aggregate; windows with
    an earlier place are later repeats. Their union is deleted. No pairs of places are formed.
 
@@ -22,13 +26,13 @@ occurs, line by line, somewhere earlier: in an earlier document or earlier in it
 
 Defined results: null and empty texts have no lines and stay as they are (null becomes empty);
 repeated rows with the same id and text are one place and treated alike; a null id comes first;
-a document may become empty, but no row goes; other columns are kept; columns whose names start
-with ``_ld_`` are reserved.
+a document may become empty, but no row goes; an empty table gives an empty one; other columns are
+kept; columns whose names start with ``_ld_`` are reserved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, table, text_or_empty
@@ -36,88 +40,117 @@ from textloom.llm.url_filter import bloom_filter_parts
 
 MIN_WORDS = 25
 BOUNDARY = r"(?<=\n)|(?<=[.!?] )"
-#: Lines looked at for a window before, in texts of very short lines, ``min_words`` of them are.
-NEAR = 8
+#: Words of the shingles of lines that fingerprints are made of.
+SHINGLE = 5
 
-_LINES = "transform(_ld_u, (x, i) -> named_struct('p', i, 'y', btrim(x, ' \\n\\r\\t')))"
-_KEPT = "transform(transform(filter({lines}, u -> u.y != ''), u -> named_struct('p', u.p, 'h', xxhash64(u.y), 'w', length(u.y) - length(replace(u.y, ' ', '')) + 1)), u -> named_struct('p', u.p, 'h', u.h, 'w', u.w, 'k', shiftrightunsigned(u.h, 2) + if(u.w < 5, 4611686018427387904L, 0L)))"
-_LEAST = """aggregate({s}, named_struct('w', 0, 'm', 9223372036854775807L, 'mp', -1),
-  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'm', least(a.m, u.k), 'mp', if(u.k < a.m, u.p, a.mp))))"""
-_WINDOW = """aggregate({s}, named_struct('w', 0, 'd', cast({seed} as bigint), 'm', 9223372036854775807L, 'q', -1, 'r', false),
-  (a, u) -> if(a.w >= {t}, a, named_struct('w', a.w + u.w, 'd', xxhash64(a.d, u.h), 'm', least(a.m, u.k), 'q', u.p, 'r', {r})))"""
-_AHEAD, _BACK = "slice(_ld_k, i, {n})", "reverse(slice(_ld_k, greatest(1, i - {n} + 1), least(i, {n})))"
+_DOC = ("_ld_id", "_ld_h")
 
 
-def _window(t: int, lines: str, window: str, **cols) -> str:
-    """The window of line i (from 1) of _ld_k, as SQL."""
-    near, far = (window.format(s=lines.format(n=n), t=t, **cols) for n in (NEAR, t))
-    return f"transform(array({near}), x -> if(x.w >= {t}, x, {far}))[0]" if t > NEAR else far
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = text_or_empty(text_col)
+    return docs.select("*", F.col(id_col).alias("_ld_id"), t.alias("_ld_t"), F.xxhash64(t).alias("_ld_h"))
 
 
-def _with_lines(docs: DataFrame, boundary: str) -> DataFrame:
-    return docs.withColumn("_ld_u", F.split("_ld_t", boundary)).withColumn("_ld_k", F.expr(_KEPT.format(lines=_LINES)))
+def _lines(base: DataFrame, boundary: str) -> DataFrame:
+    """(_ld_id, _ld_h, p, k, k2, w, i, s): lines that are not blank, with their number among all, two
+    hashes, words, number among these, and words before them; each document once."""
+    u = base.select(*_DOC, F.posexplode(F.split("_ld_t", boundary)).alias("p", "x")).withColumn("y", F.expr("btrim(x, ' \\n\\r\\t')")).where("y != ''")
+    u = u.select(*_DOC, "p", F.xxhash64("y").alias("k"), F.xxhash64(F.lit(1), "y").alias("k2"), (F.length("y") - F.length(F.replace("y", F.lit(" "), F.lit(""))) + 1).alias("w"))
+    order = Window.partitionBy(*_DOC).orderBy("p")
+    u = u.withColumn("before", F.lag("p").over(order)).where("before is null or before != p").drop("before")
+    return u.withColumns({"i": F.row_number().over(order), "s": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")})
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = text_or_empty(text_col)
-    return docs.select("*", F.col(id_col).alias("_ld_id"), t.alias("_ld_t"), F.xxhash64(t).alias("_ld_h"))
+def _turned(k: str | Column, by: str | Column, left: bool = True) -> Column:
+    """``k`` with its bits turned."""
+    k, n = (F.col(c) if isinstance(c, str) else c for c in (k, by))
+    a, b = (n % 64, 64 - n % 64) if left else (64 - n % 64, n % 64)
+    return F.call_function("shiftleft", k, a).bitwiseOR(F.call_function("shiftrightunsigned", k, b))
+
+
+def _digest(k: str, frame, first: Column) -> Column:
+    """Of the lines of a frame, in order: each hash turned by its place, from the first one's place."""
+    return _turned(F.bit_xor(_turned(k, "i")).over(frame), first, left=False)
+
+
+def _ahead(words: int):
+    """The lines that begin within so many words from here."""
+    return Window.partitionBy(*_DOC).orderBy("s").rangeBetween(0, words - 1)
+
+
+def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """``lines`` with the words ``n`` of their window (fewer than ``min_words`` where the text ends), its
+    fingerprint ``m`` and where that is, ``at``."""
+    shingle = min(SHINGLE, min_words)
+    lines = lines.withColumn("g", F.xxhash64(_digest("k", _ahead(shingle), F.col("i"))))
+    inside = _ahead(min_words - shingle + 1)
+    return lines.withColumns({"n": F.sum("w").over(_ahead(min_words)), "m": F.min("g").over(inside), "at": F.min_by("s", "g").over(inside)})
+
+
+def _windows(lines: DataFrame, min_words: int, repeated) -> DataFrame:
+    """(_ld_id, _ld_h, d, d2, s, e): digests, first and last line number of the windows in question."""
+    w = _fingerprints(lines, min_words).withColumn("r", (F.col("n") >= min_words) & repeated(F.col("m")))
+    ahead = _ahead(min_words)
+    w = w.withColumns({"d": _digest("k", ahead, F.col("i")), "d2": _digest("k2", ahead, F.col("i")), "e": F.max("p").over(ahead), "f": F.col("s") + F.col("w")})
+    back = Window.partitionBy(*_DOC).orderBy("f").rangeBetween(1 - min_words, 0)
+    first = F.min("i").over(back)
+    w = w.withColumns({"bd": _digest("k", back, first), "bd2": _digest("k2", back, first), "bs": F.min("p").over(back), "br": F.first("r").over(back) & (F.sum("w").over(back) >= min_words)})
+    span = lambda d, d2, s, e: F.struct(F.col(d).alias("d"), F.col(d2).alias("d2"), F.col(s).alias("s"), F.col(e).alias("e"))
+    both = F.array_compact(F.array(F.when(F.col("r"), span("d", "d2", "p", "e")), F.when(F.col("br"), span("bd", "bd2", "bs", "p"))))
+    return w.where("r or br").select(*_DOC, F.explode(both).alias("x")).select(*_DOC, "x.*")
 
 
 def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, boundary: str = BOUNDARY, max_bits: int = 1 << 28) -> DataFrame:
     """(_ld_id, _ld_h, runs): of each document that has any, the runs to delete, as first and last
     line number, disjoint and in order."""
-    base = _with_lines(_prepared(docs, id_col, text_col).select("_ld_id", "_ld_h", "_ld_t"), boundary)
-    each = "if(size(_ld_k) = 0, array(), transform(sequence(1, size(_ld_k)), i -> {x}))"
-    least = each.format(x=_window(min_words, _AHEAD, _LEAST))
-    # the place of the least hash never moves back, so equal ones are neighbours
-    once = f"transform(array(filter({least}, x -> x.w >= {min_words})), v -> filter(v, (x, k) -> k = 0 or x.mp != v[greatest(k - 1, 0)].mp))[0]"
-    marks = base.select(F.explode(F.expr(f"transform({once}, x -> x.m)")).alias("key"))
-    repeated = materialize(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    base = _prepared(docs, id_col, text_col).select(*_DOC, "_ld_t")
+    marks = _fingerprints(_lines(base, boundary), min_words).where(F.col("n") >= min_words)
+    # the place of the least digest never moves back, so equal ones are neighbours
+    marks = marks.withColumn("before", F.lag("at").over(Window.partitionBy(*_DOC).orderBy("s"))).where("before is null or before != at")
+    marks = materialize(marks.select("m", *_DOC), "marks")
+    repeated = materialize(marks.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select(F.col("m").alias("key")), "repeated")
     words, maybe = bloom_filter_parts(repeated, max_bits)
+    hit = (lambda m: maybe(m, words)) if maybe else (lambda m: F.lit(True))
     if maybe:
-        base = base.withColumn("_ld_f", words).withColumn("_ld_k", F.transform("_ld_k", lambda u: F.struct(u["p"].alias("p"), u["h"].alias("h"), u["w"].alias("w"), u["k"].alias("k"), maybe(u["k"], F.col("_ld_f")).alias("r"))))
-        base = base.where(F.exists("_ld_k", lambda u: u["r"]))
-    # a forward window repeats only if its own fingerprint does; a backward one holds such a window
-    ahead = _window(min_words, _AHEAD, _WINDOW, seed=0, r="if(u.k < a.m, u.r, a.r)" if maybe else "true")
-    back = _window(min_words, _BACK, _WINDOW, seed=1, r="a.r or u.r" if maybe else "true")
-    keep = f"filter({each}, x -> x.w >= {min_words} and x.r)"
-    # of a forward window q is the last line and i the first; a backward one the other way round
-    first = "named_struct('w', x.w, 'r', x.r, 'd', x.d, 's', _ld_k[i - 1].p, 'e', x.q)"
-    last = "named_struct('w', x.w, 'r', x.r, 'd', x.d, 's', x.q, 'e', _ld_k[i - 1].p)"
-    windows = [keep.format(x=f"transform(array({w}), x -> {shape})[0]") for w, shape in ((ahead, first), (back, last))]
-    spans = f"transform(concat({windows[0]}, {windows[1]}), x -> named_struct('d', x.d, 's', x.s, 'e', x.e))"
-    places = base.select("_ld_id", "_ld_h", F.explode(F.expr(spans)).alias("x")).select("_ld_id", "_ld_h", "x.d", "x.s", "x.e").distinct()
-    places = materialize(places, "places")
+        found = materialize(marks.where(hit(F.col("m"))).select(F.xxhash64(*_DOC).alias("key")).distinct(), "found")
+        some, may = bloom_filter_parts(found, max_bits)
+        base = base.where(may(F.xxhash64(*_DOC), some)) if may else base
+    places = materialize(_windows(_lines(base, boundary), min_words, hit), "places")
     place = F.struct("_ld_id", "_ld_h", "s")
-    firsts = places.groupBy("d").agg(F.min(place).alias("top"), F.max(place).alias("end")).where("top != end").select("d", "top")
-    later = places.join(firsts, "d").where(~(F.col("_ld_id").eqNullSafe(F.col("top._ld_id")) & (F.col("_ld_h") == F.col("top._ld_h")) & (F.col("s") == F.col("top.s"))))
-    runs = later.groupBy("_ld_id", "_ld_h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("w"))
-    merged = """aggregate(w, array(), (a, x) -> if(size(a) > 0 and x.s <= a[size(a) - 1].e + 1,
-      concat(slice(a, 1, size(a) - 1), array(named_struct('s', a[size(a) - 1].s, 'e', greatest(a[size(a) - 1].e, x.e)))), concat(a, array(x))))"""
-    return runs.select("_ld_id", "_ld_h", F.expr(merged.replace("array()", "cast(array() as array<struct<s:int,e:int>>)", 1)).alias("runs"))
+    firsts = places.groupBy("d", "d2").agg(F.min(place).alias("top"), F.max(place).alias("end")).where("top != end").select("d", "d2", "top")
+    later = places.join(firsts, ["d", "d2"]).where(~(F.col("_ld_id").eqNullSafe(F.col("top._ld_id")) & (F.col("_ld_h") == F.col("top._ld_h")) & (F.col("s") == F.col("top.s"))))
+    order = Window.partitionBy(*_DOC).orderBy("s", "e")
+    upto = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.select(*_DOC, "s", "e").distinct().withColumn("new", F.coalesce((F.col("s") > upto + 1).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*_DOC, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
+
+
+#: The pieces between the runs, each stretch in one go.
+_LEFT = """array_join(transform(sequence(0, size(_ld_runs)), j -> array_join(slice(_ld_u, if(j = 0, 1, _ld_runs[greatest(j - 1, 0)].e + 2),
+  greatest(0, if(j = size(_ld_runs), size(_ld_u), _ld_runs[least(j, size(_ld_runs) - 1)].s) - if(j = 0, 0, _ld_runs[greatest(j - 1, 0)].e + 1))), '')), '')"""
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, boundary: str = BOUNDARY, max_bits: int = 1 << 28) -> DataFrame:
     """``docs`` with ``text_col`` without its later repeated runs, and ``n_lines``, ``n_deleted``."""
     runs = materialize(later_runs(docs, id_col, text_col, min_words, boundary, max_bits), "runs")
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     base = _prepared(docs, id_col, text_col)
-    words, maybe = bloom_filter_parts(runs.select(F.xxhash64("_ld_id", "_ld_h").alias("key")), max_bits)
+    words, maybe = bloom_filter_parts(runs.select(F.xxhash64(*_DOC).alias("key")), max_bits)
     none = F.lit(None).cast("array<struct<s:int,e:int>>")
     if maybe:  # only texts that may lose something move
-        base = base.withColumn("_ld_f", words).withColumn("_ld_m", maybe(F.xxhash64("_ld_id", "_ld_h"), F.col("_ld_f"))).drop("_ld_f")
+        base = base.withColumn("_ld_f", words).withColumn("_ld_m", maybe(F.xxhash64(*_DOC), F.col("_ld_f"))).drop("_ld_f")
         rest, base = base.where("not _ld_m").withColumn("_ld_runs", none), base.where("_ld_m")
     else:
         rest = None
     to = runs.select(F.col("_ld_id").alias("_ld_i2"), F.col("_ld_h").alias("_ld_h2"), F.col("runs").alias("_ld_runs"))
     base = base.join(to.hint("shuffle_hash"), F.col("_ld_id").eqNullSafe(F.col("_ld_i2")) & (F.col("_ld_h") == F.col("_ld_h2")), "left").drop("_ld_i2", "_ld_h2")
-    out = base.unionByName(rest) if rest is not None else base
-    left = F.expr("array_join(transform(filter(transform(_ld_u, (x, i) -> named_struct('x', x, 'i', i)), u -> not exists(_ld_runs, r -> u.i between r.s and r.e)), u -> u.x), '')")
-    out = out.withColumn("_ld_u", F.split("_ld_t", boundary))
-    text = F.when(F.col("_ld_runs").isNull(), F.col("_ld_t")).otherwise(left)
+    out = (base.unionByName(rest) if rest is not None else base).withColumn("_ld_u", F.split("_ld_t", boundary))
+    text = F.when(F.col("_ld_runs").isNull(), F.col("_ld_t")).otherwise(F.expr(_LEFT))
     gone = F.coalesce(F.aggregate("_ld_runs", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0))
-    n = F.when(F.col("_ld_t") == "", 0).otherwise(F.size("_ld_u")).cast("long")
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep), n.alias("n_lines"), gone.cast("long").alias("n_deleted"))
+    n = F.size("_ld_u") - F.when(F.element_at("_ld_u", -1) == "", 1).otherwise(0)
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep), n.cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +158,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: The definition by line breaks only, which deletes less than the operator (it lacks the sentence
-#: ends): every window as a list of lines, its first place, the union of the others.
+#: The definition: every window as a list of lines, its first place, the union of the others.
 OP10_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 u as (select doc_id, t, unnest(list_zip(p, range(len(p)))) as z
-      from (select doc_id, t, list_filter(string_split(regexp_replace(t, '(\n)', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') as p from d)),
+      from (select doc_id, t, list_filter(string_split(regexp_replace(t, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') as p from d)),
 lines as (select doc_id, t, z[1] as x, cast(z[2] as int) as p, trim(z[1], chr(32) || chr(10) || chr(13) || chr(9)) as y from u),
 kept as (select doc_id, md5(t) as h, p, y, length(y) - length(replace(y, ' ', '')) + 1 as w from lines where y != ''),
 c as (select *, sum(w) over (partition by doc_id, h order by p) as upto, row_number() over (partition by doc_id, h order by p) as i from kept),
