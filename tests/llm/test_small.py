@@ -18,7 +18,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, fingerprints, line_dedup, near_dedup, packing, pii, quality, secrets, token_counts, url_filter
+from textloom.llm import fingerprints, line_dedup, near_dedup, packing, pii, quality, secrets, token_counts, url_filter
 from textloom.llm.encoders import encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, id string, t string, h string, p string, n bigint, label string, digest string"
@@ -419,51 +419,6 @@ def test_quality_separates_and_shrinks(spark, odd):
 ITEMS = [(1, "What is the capital of the fair land of Oz now. It is the Emerald City by the green river."), (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, ""), (5, "tiny item")]
 
 
-def test_decontamination_against_brute_force(spark, odd):
-    rng = random.Random(12)
-    texts = list(odd)
-    for k in range(40):
-        w = prose(rng, rng.randint(5, 400)).split()
-        item = ITEMS[k % 2][1].split()
-        if k % 4 < 2:
-            at = rng.randint(0, len(w))
-            w[at:at] = item if k % 8 < 4 else [x.upper() for x in item]
-        elif k % 4 == 2:
-            w[0:0] = item[: len(item) // 3]
-        texts.append((200 + k, " ".join(w)))
-    df = docs(spark, texts)
-    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    expected = set()
-    for i, t in texts:
-        have = decontaminate.words_of(t or "")
-        for j, x in ITEMS:
-            s = decontaminate.shingles(decontaminate.words_of(x or ""))
-            n = len(next(iter(s))) if s else 0
-            if s and len(s & {tuple(have[k : k + n]) for k in range(len(have) - n + 1)}) / len(s) >= 0.8:
-                expected.add((i, j))
-    got = decontaminate.leaks(df, items)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == expected and expected
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, items, block_items=1).collect()} >= {x for x in expected if x[1] == 2}
-    left = decontaminate.clean(df, items)
-    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in texts} - {i for i, _ in expected}
-    assert decontaminate.leaks(df.limit(0), items).count() == 0 and decontaminate.leaks(df, items.limit(0)).count() == 0
-
-
-def test_wand_retrieves_all_over_the_threshold():
-    rng = random.Random(6)
-    items = [(k, " ".join(rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(rng.randint(3, 30)))) for k in range(60)]
-    index = decontaminate.Index(items)
-    for _ in range(60):
-        terms = {index.term[t] for t in rng.sample(sorted(index.term), 25)}
-        scores = {}
-        for t in terms:
-            for d, x in index.postings[t]:
-                scores[d] = scores.get(d, 0) + x
-        for threshold in (0.1, 0.3, 0.6):
-            got = index.retrieve(terms, np.ones(index.top.shape[1], bool), threshold)
-            assert {d: round(x, 9) for d, x in got.items()} == {d: round(x, 9) for d, x in scores.items() if x >= threshold}
-
-
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
