@@ -18,7 +18,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import fingerprints, line_dedup, near_dedup, packing, pii, quality, secrets, token_counts, url_filter
+from textloom.llm import fingerprints, line_dedup, near_dedup, packing, pii, secrets, token_counts, url_filter
 from textloom.llm.encoders import encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, id string, t string, h string, p string, n bigint, label string, digest string"
@@ -390,32 +390,6 @@ def test_plan_uses_every_piece_once():
     assert packing.make_plan(np.zeros(129, dtype=np.int64), 128).n_sequences == 0
 
 
-def test_quality_separates_and_shrinks(spark, odd):
-    rng = random.Random(9)
-    rows, labels = [], []
-    for k in range(300):
-        good = k % 3 != 0
-        toxic = good and k % 7 == 0
-        text = prose(rng, 60) if good else " ".join(w.upper() + "!!" for w in prose(rng, 60).split())
-        rows.append((k, text + (" scumbag" if toxic else "")))
-        labels.append((k, int(good), int(toxic)))
-    df, lab = docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    model = quality.fit(df, lab.where("doc_id < 200"))
-    out = {r["doc_id"]: r["keep"] for r in quality.classify(df, model).collect()}
-    held = [(out[k], bool(q and not t)) for k, q, t in labels if k >= 200]
-    assert sum(a == b for a, b in held) / len(held) > 0.95
-    assert all(out[k] for k, q, t in labels if q and not t)
-    every = quality.classify(docs(spark, odd), model)
-    assert every.count() == len(odd) and set(df.columns) <= set(every.columns)
-    assert quality.classify(df.limit(0), model).count() == 0
-    assert quality.fit(df, lab.limit(0)).quality == []
-    # a site of one document follows the global rate, one of many its own
-    p = [("a", "x", 0.0)] * 500 + [("b", "x", 1.0)] * 500 + [("c", "x", 0.0)] + [("d", "y", 1.0)] * 400 + [(None, None, 0.0)]
-    sites, rate = quality.site_posteriors(spark.createDataFrame(p, "host string, path string, p double"))
-    r = {x["host"]: x["host_rate"] for x in sites.collect()}
-    assert r["a"] < 0.05 and r["b"] > 0.95 and 0.05 < r["c"] < rate and None in r
-
-
 ITEMS = [(1, "What is the capital of the fair land of Oz now. It is the Emerald City by the green river."), (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, ""), (5, "tiny item")]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,18 +23,34 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one, so that an operator's own names cannot clash with them."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns)).alias("row")
+
+
+def unpacked(columns: list[str], row: str = "row") -> list[Column]:
+    """The columns of ``packed`` again."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test run) a temporary folder is made and set.
+    Only where the session names none and runs on one machine (a local master, as in tests) a temporary
+    folder is made; on a cluster a missing setting is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
@@ -46,11 +63,20 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free(df: DataFrame | None) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    path = getattr(df, "_textloom_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, computes once,
-    survives lost executors. The folder goes when the driver exits."""
+    survives lost executors. The folder goes when the driver exits, or by ``free``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out

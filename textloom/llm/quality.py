@@ -2,22 +2,26 @@
 
 1. Evidence of a document: two logistic models, fitted on at most ``sample`` labelled rows (by a hash
    of the id; the bound is the one limit here): ``quality`` from style (shares of upper-case letters,
-   symbols, repeated neighbours, distinct words, bars; length), ``toxic`` from words and word
-   beginnings that the labels single out. p_clean = p_quality * (1 - p_toxic).
-2. Sites: counts and expected clean documents by (host, path) in one aggregate, by host from that.
-   The prior for hosts is a beta distribution fitted to the host rates by moments, the strength of
-   the prior for paths by the spread of path rates around their host. A host's posterior shrinks
-   towards the global rate, a path's towards its host: sparse sites follow what stands above them.
+   symbols, repeated neighbours, distinct words, bars; length), ``toxic`` from all words and word
+   beginnings that the labels single out. Labelled rows that look like copies of one another share the
+   weight of one. Of labelled rows only numbers come to the driver, no texts.
+   p_clean = p_quality * (1 - p_toxic).
+2. Sites: counts and expected clean documents by (host, path) in one aggregate, which is written; by
+   host from that. The prior for hosts is a beta distribution fitted to the host rates by moments, the
+   strength of the prior for paths by the spread of path rates around their host. A host's posterior
+   shrinks towards the global rate, a path's towards its host: sparse sites follow what stands above
+   them.
 3. A document's log odds are its evidence plus the log odds of its path's posterior, itself left out,
    less those of the global rate. It is kept from ``least`` on.
 
-Texts are read twice and never moved: the site table joins to the documents, by broadcast only where
-it has at most ``broadcast_sites`` rows.
+Texts are scored twice (once for the sites, once for the result) and never moved: the site table joins
+to the documents, by broadcast only where it has at most ``broadcast_sites`` rows.
 
 Defined results: null, empty and blank texts have the style of an empty text and no words, and are
 kept only if labels say that such are good; a null host or path is a site of its own; repeated rows
-are judged each; without labels of both classes a model says 0.5 (quality) or 0 (toxic) for all; an
-empty table gives an empty one; other columns are kept.
+are judged each; labels without an id or a quality do not count, a null ``toxic`` is 0; without labels
+of both classes a model says 0.5 (quality) or 0 (toxic) for all; an empty table gives an empty one;
+other columns are kept, whatever they are called, but for those of the result's own names.
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table, text_or_empty
+from textloom.llm.common import materialize, packed, quoted, table, text_or_empty, unpacked
 
 SAMPLE = 5000
 #: Least penalty on the weights of words, so that few labelled rows give cautious weights.
@@ -63,21 +67,59 @@ def terms_of(words: set[str]) -> set[str]:
     return words | {w[:5] + "*" for w in words if len(w) > 5}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, weight: np.ndarray, steps: int = 60) -> np.ndarray:
     """Newton steps on the penalised likelihood; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge * len(y))
+    penalty = np.full(len(w), ridge * weight.sum())
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (weight * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def fit_sparse(row: np.ndarray, term: np.ndarray, terms: int, y: np.ndarray, ridge: float, weight: np.ndarray, steps: int = 500) -> tuple[np.ndarray, float]:
+    """The same for columns of 0 and 1, given by the places of the ones, by L-BFGS: weights, constant."""
+    penalty = np.append(np.full(terms, ridge * weight.sum()), 1e-6)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, w[term], len(y)) + w[-1]
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        off = weight * (p - y)
+        value = float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (penalty * w * w).sum())
+        return value, np.append(np.bincount(term, off[row], terms), off.sum()) + penalty * w
+
+    w, past = np.zeros(terms + 1), []
+    value, slope = loss(w)
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-7 * max(1.0, weight.sum()):
+            break
+        d, back = slope.copy(), []
+        for s, g in reversed(past):
+            a = (s @ d) / (s @ g)
+            d -= a * g
+            back.append(a)
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, g), a in zip(past, reversed(back)):
+            d += s * (a - (g @ d) / (s @ g))
+        step = 1.0
+        while step > 1e-12:
+            new, at = loss(w - step * d)
+            if new <= value - 1e-4 * step * (slope @ d):
+                break
+            step /= 2
+        else:
+            break
+        if (-step * d) @ (at - slope) > 1e-14:
+            past = [*past[-9:], (-step * d, at - slope)]
+        w, value, slope = w - step * d, new, at
+    return w[:-1], float(w[-1])
+
+
 @dataclass
 class Model:
     """Weights; ``terms`` has those of the words for ``toxic``."""
@@ -106,49 +148,47 @@ class Model:
         return {t[:-1] for t in self.terms if t.endswith("*")}
 
 
-def fit_model(rows: list[tuple[str, int, int]], least_df: int = 4, most_terms: int = 400) -> Model:
-    """From (text, quality, toxic). Of texts whose four least word hashes are the same, copies of one
-    another, one counts: else the words of a text that is often copied would look telling."""
-    out, sketches = Model(), {}
-    for r in rows:
-        sketches.setdefault((*sorted({crc32(w.encode()) for w in r[0].lower().split()})[:4], *r[1:]), r)
-    rows = list(sketches.values())
-    good = np.array([r[1] for r in rows], dtype=float)
-    toxic = np.array([r[2] for r in rows], dtype=float)
-    if 0 < good.sum() < len(rows):
-        x = np.array([read(r[0])[0] for r in rows])
-        out.mean, out.scale = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
-        out.quality = fit_logistic(np.clip((x - out.mean) / out.scale, -6, 6), good, 1e-4).tolist()
-    if 0 < toxic.sum() < len(rows):
-        a, b = toxic.sum(), len(rows) - toxic.sum()
-        with_, without = Counter(), Counter()
-        for r in rows:
-            if r[2]:
-                with_.update(terms_of(read(r[0])[1]))
-        with_ = {t: n for t, n in with_.items() if n >= max(least_df, 0.01 * a)}
-        for r in rows:  # only the words in question are counted, so memory stays small
-            if not r[2]:
-                without.update(terms_of(read(r[0])[1]) & with_.keys())
-        gain = {t: n / a - 8 * without[t] / b for t, n in with_.items()}
-        chosen = sorted((t for t in gain if gain[t] > 0), key=lambda t: (-gain[t], t))[:most_terms]
-        if chosen:
-            place = {t: k for k, t in enumerate(chosen)}
-            x = np.zeros((len(rows), len(chosen)))
-            for i, r in enumerate(rows):
-                for t in terms_of(read(r[0])[1]) & place.keys():
-                    x[i, place[t]] = 1
-            w = fit_logistic(x, toxic, max(1e-5, TERM_RIDGE / len(rows)))
-            out.terms, out.base = dict(zip(chosen, w[:-1].tolist())), float(w[-1])
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_rows: int = 4) -> Model:
+    """Fit on at most ``sample`` labelled documents; their numbers come to the driver, and the terms that
+    are in ``least_rows`` toxic ones and in one in a hundred, and more usual there than elsewhere."""
+    some = labels.select(F.col(id_col).alias("i"), "quality", "toxic").where("i is not null and quality is not null").orderBy(F.xxhash64("i"), "i", "quality", "toxic").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
+    rows = texts.join(F.broadcast(some), F.col("id") == F.col("i")).select("t", F.col("quality").cast("int").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic"), F.xxhash64("i").alias("o"), F.xxhash64("t").alias("h"))
+
+    @F.pandas_udf("style array<double>, sketch array<bigint>, terms array<string>")
+    def features(t: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in t:
+            style, words = read(text)
+            out.append((style, sorted({crc32(w.encode()) for w in words})[:4], sorted(terms_of(words))))
+        return pd.DataFrame(out, columns=["style", "sketch", "terms"])
+
+    order = ("o", "h", "quality", "toxic")  # an id may have many rows
+    read_ = rows.select(*order, features("t").alias("x")).select(*order, "x.*").orderBy(*order).limit(sample)
+    read_ = materialize(read_.withColumn("n", F.row_number().over(Window.orderBy(*order)) - 1), "features")
+    own = sorted(read_.select("n", "quality", "toxic", "style", "sketch").collect())  # at most `sample` short rows
+    out = Model()
+    groups = Counter((*r["sketch"], r["quality"], r["toxic"]) for r in own)
+    weight = np.array([1 / groups[*r["sketch"], r["quality"], r["toxic"]] for r in own])
+    good, toxic = (np.array([float(r[c] > 0) for r in own]) for c in ("quality", "toxic"))
+    if 0 < good.sum() < len(own):
+        x = np.array([r["style"] for r in own])
+        mean = np.average(x, 0, weight)
+        out.mean, out.scale = mean.tolist(), (np.sqrt(np.average((x - mean) ** 2, 0, weight)) + 1e-6).tolist()
+        out.quality = fit_logistic(np.clip((x - out.mean) / out.scale, -6, 6), good, 1e-4, weight).tolist()
+    if 0 < toxic.sum() < len(own):
+        a, b = float(weight @ toxic), float(weight @ (1 - toxic))
+        weights = docs.sparkSession.createDataFrame([(k, float(w), int(t)) for k, (w, t) in enumerate(zip(weight, toxic))], "n int, w double, x int")
+        each = read_.select("n", F.explode("terms").alias("term")).join(F.broadcast(weights), "n")
+        chosen = each.groupBy("term").agg(F.sum(F.col("w") * F.col("x")).alias("c"), F.sum(F.col("w") * (1 - F.col("x"))).alias("d")).where((F.col("c") >= max(least_rows, 0.01 * a) - 1e-9) & (F.col("c") / a > 8 * F.col("d") / b)).select("term")
+        ones = sorted((r["term"], r["n"]) for r in each.join(F.broadcast(chosen), "term").select("term", "n").collect())
+        if ones:
+            place = {t: k for k, t in enumerate(dict.fromkeys(t for t, _ in ones))}
+            w, out.base = fit_sparse(np.array([n for _, n in ones]), np.array([place[t] for t, _ in ones]), len(place), toxic, max(1e-5, TERM_RIDGE / weight.sum()), weight)
+            out.terms = dict(zip(place, w.tolist()))
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents; so many texts come to the driver at most."""
-    some = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").where("_id is not null and quality is not null").orderBy(F.xxhash64("_id"), "_id", "quality", "toxic").limit(sample)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(text_or_empty(text_col).alias("t"), "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"), F.xxhash64("_id").alias("o")).orderBy("o", "t").limit(sample)
-    return fit_model([(r["t"], r["quality"], r["toxic"]) for r in rows.collect()])
-
-
 def _logit(p: Column) -> Column:
     p = F.greatest(F.lit(1e-6), F.least(p, F.lit(1 - 1e-6)))
     return F.log(p / (1 - p))
@@ -157,7 +197,7 @@ def _logit(p: Column) -> Column:
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """Of rows (host, path, p): (host, path, n, s, host_rate, strength) and the global rate. Scalars
     come to the driver."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
+    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     g = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("k"), F.sum(F.col("hn") * F.col("hn")).alias("n2")).first()
     if not g["n"]:
@@ -192,19 +232,18 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", host: Column
     logits = logits.asNondeterministic()  # it is computed once, and not again for a filter
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    odds = docs.select("*", host.alias("_host"), path.alias("_path"), logits(text_or_empty(text_col)).alias("_x"))
     good = lambda x: 1 / (1 + F.exp(-x))
-    p_quality, p_toxic = good(F.col("_x.q")), good(F.col("_x.t"))
-    scored = odds.withColumn("p_quality", p_quality).withColumn("p_toxic", p_toxic).withColumn("_p", F.col("p_quality") * (1 - F.col("p_toxic")))
-    sites, rate = site_posteriors(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p")))
-    sites = materialize(sites, "sites")
-    sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_q"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("host_rate").alias("_r"), F.col("strength").alias("_b"))
+    odds = docs.select(packed(docs), host.alias("host"), path.alias("path"), logits(text_or_empty(F.col(quoted(text_col)))).alias("x"))
+    scored = odds.select("row", "host", "path", good(F.col("x.q")).alias("p_quality"), good(F.col("x.t")).alias("p_toxic")).withColumn("p", F.col("p_quality") * (1 - F.col("p_toxic")))
+    sites, rate = site_posteriors(scored.select("host", "path", "p"))
+    sites = materialize(sites, "sites").withColumnsRenamed({"host": "h", "path": "q"})
     if sites.limit(broadcast_sites + 1).count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_q")), "left")
-    joined = joined.withColumn("site_rate", (F.col("_b") * F.col("_r") + F.col("_s") - F.col("_p")) / (F.col("_b") + F.col("_n") - 1))
-    joined = joined.withColumn("p_keep", good(_logit(F.col("_p")) + _logit(F.col("site_rate")) - _logit(F.lit(rate))))
-    return joined.select(*docs.columns, "p_quality", "p_toxic", "site_rate", "p_keep", (F.col("p_keep") >= least).alias("keep"))
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    joined = joined.withColumn("site_rate", (F.col("strength") * F.col("host_rate") + F.col("s") - F.col("p")) / (F.col("strength") + F.col("n") - 1))
+    joined = joined.withColumn("p_keep", good(_logit(F.col("p")) + _logit(F.col("site_rate")) - _logit(F.lit(rate))))
+    own = ("p_quality", "p_toxic", "site_rate", "p_keep", "keep")
+    return joined.withColumn("keep", F.col("p_keep") >= least).select(*unpacked([c for c in docs.columns if c not in own]), *own)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
