@@ -6,7 +6,6 @@ and an empty table.
 
 import base64
 import gzip
-import hashlib
 import math
 import random
 import re
@@ -18,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import fingerprints, line_dedup, near_dedup, packing, pii, secrets, token_counts, url_filter
+from textloom.llm import line_dedup, near_dedup, packing, pii, secrets, token_counts, url_filter
 from textloom.llm.encoders import encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, id string, t string, h string, p string, n bigint, label string, digest string"
@@ -289,37 +288,6 @@ def test_secrets_end_on_cycles_and_bombs():
     assert secrets.findings("%25" * 200 + "41")[1] < 500
 
 
-def test_fingerprints_follow_the_definition(spark, odd):
-    texts = [(i, t) for i, t in odd if i is not None]
-    got = sorted(fingerprints.compare_edited(docs(spark, texts), rows_per_bucket=3).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
-    order = sorted(((i, t or "") for i, t in texts))
-    assert len(got) == len(order)
-    for k, (r, (i, t)) in enumerate(zip(got, order)):
-        following = order[(k + 1) % len(order)][1]
-        half = len(t) // 2
-        edited = t[: len(t) - half] + following[:half]
-        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["fingerprint"] == fingerprints.as_text(fingerprints.chunk_weights(t.encode())) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    one = docs(spark, [(1, "abc")])
-    assert fingerprints.compare_edited(one).first()["near_next"] == 1.0
-    assert fingerprints.compare_edited(one.limit(0)).count() == 0
-    null_first = fingerprints.compare_edited(docs(spark, [(None, "aaaa"), (1, "bbbb")])).collect()
-    assert {r["doc_id"]: r["edited_sha256"] for r in null_first}[None] == hashlib.sha256(b"aabb").hexdigest()
-
-
-def test_chunks_resist_shifts():
-    rng = random.Random(2)
-    text = prose(rng, 3000).encode()
-    moved = b"inserted words " + text
-    a, b = fingerprints.chunk_weights(text), fingerprints.chunk_weights(moved)
-    assert fingerprints.containment(a, b) > 0.95 and sum(a.values()) == len(text)
-    ends = fingerprints.boundaries(text)
-    sizes = np.diff([0, *ends])
-    assert sizes.max() <= fingerprints.MOST and sizes[:-1].min() >= fingerprints.LEAST and ends[-1] == len(text)
-    for end in fingerprints.boundaries("日本語é🙂".encode() * 300)[:-1]:
-        ("日本語é🙂" * 300).encode()[:end].decode()
-
-
 @pytest.fixture(scope="module")
 def library():
     public = pytest.importorskip("public_tokenizers")

@@ -7,9 +7,16 @@ and never inside a character. An edit moves only the boundaries near it. The fin
 of chunk digests, each with the bytes it covers; containment of one text in another is the share of
 its bytes in chunks that the other has too.
 
+For the comparison with the next document texts are laid out in ranges of (id, text hash), in one
+exchange. The bounds of the ranges are rows that are picked by hash, the longer a text the likelier, so
+that ranges have about ``bucket_bytes`` each; every bound is the first row of its range and goes to the
+range before it too. Bounds are in a table of one row (some 20 bytes for each ``bucket_bytes``), which
+tasks search by halves; the driver gets their number only. Results do not depend on the bounds.
+
 Defined results: null counts as the empty text, whose fingerprint is empty; two empty texts have a
 likeness of 1, an empty and another 0. Next documents go by ascending id (null first), rows of one
-id by text; a table of one row is its own next. Extra columns are ignored.
+id by a hash of the text; ids may be of any type that can be ordered; a table of one row is its own
+next; an empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, text_or_empty
+from textloom.llm.common import materialize, table, text_or_empty
 
 LEAST, NORMAL, MOST = 32, 128, 512
 STRICT, LOOSE = 9, 5
@@ -124,41 +131,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"id {own}, n_chars bigint, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (id, t) laid out so that each is followed, in its task and bucket, by its next.
-
-    Buckets are ranges of ids cut at quantiles; the first rows of a bucket go to the bucket before
-    it too (``guest``), those of the first bucket to the last. One exchange of the texts. What comes
-    to the driver is one number per bucket.
-    """
-    if buckets > 1:
-        cuts = [k / buckets for k in range(1, buckets)]
-        found = docs.where("id is not null").agg(F.percentile_approx("id", cuts, 100 * buckets).alias("q")).first()["q"]
-        bounds = sorted(set(found or []))
-    else:
-        bounds = []
-    bucket = F.lit(0)
-    if bounds:
-        step = max(1, int(len(bounds) ** 0.5))
-        every, coarse = F.lit(bounds), F.lit(bounds[::step])
-        upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("id")))
-        c = upto(coarse)
-        bucket = F.when(F.coalesce(c == 0, F.lit(True)), 0).otherwise((c - 1) * step + upto(F.slice(every, (c - 1) * step + 1, step)))
-    first = {r["b"]: r["f"]["id"] for r in docs.select("id", bucket.alias("b")).groupBy("b").agg(F.min(F.struct("id")).alias("f")).collect()}
-    if not first:
-        return docs.select("id", "t", F.lit(0).alias("bucket"), F.lit(False).alias("guest"))
-    used = sorted(first)
-    before = {b: used[k - 1] for k, b in enumerate(used)}
-    kind = docs.schema["id"].dataType.simpleString()
-    firsts = F.array(*(F.lit(first.get(b)).cast(kind) for b in range(len(bounds) + 1)))
-    befores = F.lit([before.get(b, 0) for b in range(len(bounds) + 1)])
-    own = F.struct(F.col("b").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.get(befores, F.col("b")).alias("bucket"), F.lit(True).alias("guest"))
-    rows = docs.withColumn("b", bucket).withColumn("to", F.explode(F.when(F.col("id").eqNullSafe(F.get(firsts, F.col("b"))), F.array(own, guest)).otherwise(F.array(own))))
-    return rows.select("id", "t", "to.bucket", "to.guest").repartition(max(1, len(used)), "bucket").sortWithinPartitions("bucket", "guest", "id", "t")
-
-
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 4000) -> DataFrame:
+#: Rows picked for each range; every so manyth is a bound.
+PICKED = 8
+
+
+def with_next(docs: DataFrame, bucket_bytes: int) -> DataFrame:
+    """Rows (id, t) laid out so that each is followed, in its task and bucket, by its next: the first row
+    of a bucket is in the bucket before it too (``guest``), that of all in the last."""
+    key = F.struct("id", "h")
+    rows = docs.withColumn("h", F.get(F.transform(F.array(F.xxhash64("t")), lambda x: x), F.lit(0)))
+    chance = (F.octet_length("t") + 64) * F.lit(PICKED / bucket_bytes)
+    picked = F.pmod(F.xxhash64(F.lit(8), "id", "h"), F.lit(1 << 30)) < chance * F.lit(float(1 << 30))
+    one = rows.agg(F.min(key).alias("first"), F.array_sort(F.collect_set(F.when(picked, key))).alias("some"))
+    bounds = F.filter("some", lambda x, i: (i % PICKED == PICKED - 1) & (x > F.col("first")))
+    one = materialize(one.select("first", bounds.alias("bounds")), "bounds")
+    n = one.select(F.size("bounds")).first()[0] or 0
+    first, bounds = one.select("first").scalar(), one.select("bounds").scalar()
+    # how many bounds are not above the key, by halves
+    rows = rows.withColumn("key", key).withColumn("bucket", F.lit(0))
+    for step in (1 << k for k in reversed(range(n.bit_length()))):
+        at = F.col("bucket") + step
+        rows = rows.withColumn("bucket", F.when((at <= n) & (F.get(bounds, at - 1) <= F.col("key")), at).otherwise(F.col("bucket")))
+    starts = F.when(F.col("key") == first, n).when((F.col("bucket") > 0) & (F.get(bounds, F.col("bucket") - 1) == F.col("key")), F.col("bucket") - 1)
+    own = F.struct("bucket", F.lit(False).alias("guest"))
+    both = F.when(starts.isNotNull(), F.array(own, F.struct(starts.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    rows = rows.select("id", "t", "h", F.explode(both).alias("to")).select("id", "t", "h", "to.bucket", "to.guest")
+    return rows.repartitionById(n + 1, "bucket").sortWithinPartitions("bucket", "guest", "id", "h").select("id", "t", "bucket", "guest")
+
+
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
     """Fingerprints of every text, of its edited text (the second half replaced by the start of the
     next document) and their likeness, and the likeness to the next document."""
 
@@ -191,9 +192,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = [to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     df = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-    buckets = max(1, -(-df.count() // rows_per_bucket))
     schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(df, buckets).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return with_next(df, bucket_bytes).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _compared(own, text: str, weights: dict[int, int], following: str, following_weights: dict[int, int]) -> tuple:
