@@ -4,12 +4,9 @@ Every operator sees nulls, empty and long texts, repeated rows and extra columns
 and an empty table.
 """
 
-import base64
-import gzip
 import math
 import random
 import re
-import urllib.parse
 import zlib
 
 import duckdb
@@ -17,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, near_dedup, packing, pii, secrets, token_counts, url_filter
+from textloom.llm import line_dedup, near_dedup, packing, pii, token_counts, url_filter
 from textloom.llm.encoders import encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, id string, t string, h string, p string, n bigint, label string, digest string"
@@ -256,38 +253,6 @@ def test_pii_bootstraps(spark):
     assert found[50] == [("email", "zed#at#mail2")] and not found[51] and not found[0]
 
 
-SECRET = 'token = "abcdefgh12345"'
-
-
-@pytest.mark.parametrize(
-    "coded",
-    [
-        urllib.parse.quote(SECRET), "".join(f"\\u{ord(c):04x}" for c in SECRET), base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode(),
-        base64.b64encode(zlib.compress(base64.b64encode(SECRET.encode()))).decode(), urllib.parse.quote(base64.b64encode(zlib.compress(urllib.parse.quote(SECRET).encode())).decode(), safe=""),
-    ],
-)
-def test_secret_in_layers(coded):
-    text = f"é some text {coded} after"
-    found, layers, cut = secrets.findings(text)
-    assert layers and not cut and {f[0] for f in found} == {"assign"}
-    assert all(text.index(coded) <= f[1] < f[2] <= text.index(coded) + len(coded) for f in found)
-
-
-def test_secrets_base_and_odd_rows(spark, odd):
-    texts = odd + [(20, "Password: hunter22 AKIA" + "A1" * 9 + " " + "0a" * 12 + " token=abc"), (21, "x" * 50 + "%zz %41%4"), (22, "api_key='" + "q" * 9 + "' secret=token=abcdefg")]
-    rows = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, texts)).collect()}
-    assert [(f["kind"], f["start"], f["end"]) for f in rows[20]["findings"]] == [("assign", 0, 18), ("access", 19, 41), ("hex", 42, 66)]
-    assert len(rows[22]["findings"]) == 2 and not rows[21]["findings"] and not rows[1]["findings"]
-    assert secrets.scan_secrets(docs(spark, texts).limit(0)).count() == 0
-
-
-def test_secrets_end_on_cycles_and_bombs():
-    bomb = base64.b64encode(zlib.compress(b"a" * 2_000_000)).decode()
-    found, layers, cut = secrets.findings(bomb, max_layer=10_000)
-    assert cut == 1 and layers >= 1
-    assert secrets.findings("%25" * 200 + "41")[1] < 500
-
-
 @pytest.fixture(scope="module")
 def library():
     public = pytest.importorskip("public_tokenizers")
