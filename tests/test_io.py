@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import analytics, joins
 from textloom.operators import vector as V
+from textloom.plans import config as C
 from textloom.plans import prompts
 from textloom.sources import readers, writers
 from textloom.streaming import incremental
@@ -28,8 +29,12 @@ def test_json_array(spark, tmp_path):
     (tmp_path / "e.json").write_text("[]")
     assert readers.json_array(spark, str(tmp_path / "e.json")) is None
     (tmp_path / "a.json").write_text(json.dumps([{"id": "1", "score": "x"}, {"id": "2", "score": "5"}]))
-    got = readers.padded(readers.json_array(spark, str(tmp_path / "a.json")), source="s").orderBy("id").collect()
+    got = readers.padded(readers.json_array(spark, str(tmp_path / "a.json"), readers.RAW_ITEM), source="s").orderBy("id").collect()
     assert [(r["score"], r["source"]) for r in got] == [(None, "s"), (5, "s")]
+    assert readers.json_array(spark, str(tmp_path / "a.json")).columns == ["id", "score"]
+    (tmp_path / "bad.json").write_text("[{]")
+    with pytest.warns(UserWarning, match="do not fit"):
+        assert readers.json_array(spark, str(tmp_path / "bad.json"), "id string") is None
 
 
 def test_normalisers(spark):
@@ -61,19 +66,75 @@ def test_sinks(spark, tmp_path):
         write(df, p)
         assert sorted(map(tuple, read(p).collect()), key=str) == [(1, "é"), (2, None)]
     got = writers.promote(df, str(tmp_path / "ready"), "k")
-    assert got["approx_rows"] == 2 and got["source_parts"] and got["dataset_bytes"] > 0
+    assert got["approx_rows"] == 2 and got["source_parts"] and got["dataset_bytes"] > 0 and got["ready_at"].endswith("Z")
+    assert json.loads((tmp_path / "ready_READY").read_text()) == got
+    writers.json_document(df.where("id = 1"), str(tmp_path / "one.json"))
     writers.json_document(df.where("id = 1"), str(tmp_path / "one.json"))
     assert json.loads((tmp_path / "one.json").read_text()) == {"id": 1, "text": "é"}
+    assert not list(tmp_path.glob("*.tmp"))
     with pytest.raises(ValueError):
         writers.json_document(df, str(tmp_path / "two.json"))
+    writers.instruction_lines(df.withColumn("source", F.lit("blog")), "text", "source", str(tmp_path / "i"))
+    assert {r["instruction"] for r in spark.read.json(str(tmp_path / "i")).collect()} == {C.SOURCE_INSTRUCTIONS["blog"]}
 
 
-def test_vector_upsert(spark, tmp_path):
+def test_vector_collection(spark, tmp_path):
     kind = "vec_id int, embedding array<float>"
     p = str(tmp_path / "c")
-    writers.upsert(spark.createDataFrame([(1, [1.0]), (2, [])], kind), p, "vec_id")
-    out = writers.upsert(spark.createDataFrame([(1, [2.0]), (3, [3.0])], kind), p, "vec_id")
-    assert sorted(map(tuple, out.collect())) == [(1, [2.0]), (3, [3.0])]
+    assert writers.read_collection(spark, p) is None
+    assert writers.upsert(spark.createDataFrame([(1, [1.0]), (2, []), (4, None)], kind), p, "vec_id") == {"written": 1, "skipped": 2}
+    assert writers.upsert(spark.createDataFrame([(1, [2.0]), (3, [3.0])], kind), p, "vec_id") == {"written": 2, "skipped": 0}
+    assert sorted(map(tuple, writers.read_collection(spark, p).collect())) == [(1, [2.0]), (3, [3.0])]
+    # a run that breaks off leaves the old version
+    broken = spark.createDataFrame([(7, [7.0])], kind).withColumn("vec_id", F.expr("raise_error('no')").cast("int"))
+    with pytest.raises(Exception, match="no"):
+        writers.upsert(broken, p, "vec_id")
+    assert sorted(map(tuple, writers.read_collection(spark, p).collect())) == [(1, [2.0]), (3, [3.0])]
+    assert V.rebuild(spark.createDataFrame([(1, "a b"), (2, " ")], "vec_id int, t string"), "vec_id", "t", V.HashingEmbedder(8), p) == {"written": 1, "skipped": 1}
+    assert [r["vec_id"] for r in writers.read_collection(spark, p).collect()] == [1]
+
+
+def test_marker_is_watched(spark, tmp_path):
+    seen, marker, state = [], str(tmp_path / "m"), str(tmp_path / "s")
+    assert incremental.watch(spark, marker, state, seen.append, once=True) == 0
+    writers.replace_file(spark, marker, '{"ready_at": "1"}')
+    assert [incremental.watch(spark, marker, state, seen.append, once=True) for _ in range(2)] == [1, 0]
+    assert incremental.watch(spark, marker, state, seen.append, once=True, force=True) == 1
+    writers.replace_file(spark, marker, '{"ready_at": "2"}')
+
+    def fail(_):
+        raise OSError("broken")
+
+    with pytest.raises(OSError, match="broken"):
+        incremental.watch(spark, marker, state, fail, once=True)
+    writers.replace_file(spark, state, "no json")
+    assert incremental.watch(spark, marker, state, seen.append, once=True) == 1 and [x["ready_at"] for x in seen] == ["1", "1", "2"]
+
+    def stop(_):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        incremental.watch(spark, marker, state, seen.append, sleep=stop)
+
+
+def test_retries_breaker_and_schedule():
+    waits, calls = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("again")
+        return 5
+
+    assert incremental.with_retries(call, sleep=waits.append) == 5 and waits == [3.0, 6.0]
+    with pytest.raises(OSError, match="again"):
+        calls.clear() or incremental.with_retries(call, tries=2, sleep=waits.append)
+    b = incremental.Breaker(3)
+    assert [b.note(False) for _ in range(3)] == [True, True, False]
+    c = incremental.Breaker(3)
+    assert c.note(True) and all(c.note(False) for _ in range(9))
+    assert incremental.due(None, "2024-01-07T00:00:00Z") and not incremental.due("2024-01-07T01:00:00Z", "2024-01-13T23:00:00Z") and incremental.due("2024-01-06T23:00:00Z", "2024-01-07T00:00:00Z")
+    assert not incremental.due(None, "2024-01-07T00:00:00Z", "None") and incremental.due(None, "2024-01-07T00:00:00Z", "@once") and not incremental.due("2024-01-01T00:00:00Z", "2024-02-07T00:00:00Z", "@once")
 
 
 def test_stream_takes_new_files_once(spark, tmp_path):
@@ -98,13 +159,33 @@ def test_context_budget(spark):
     assert got.startswith("[Chunk 1 — doc_id=a]\n" + "x" * 60) and "doc_id=b" not in got and got.endswith("...") and "doc_id=d" not in got
 
 
+class Broken:
+    def embed(self, texts):
+        raise ValueError("no model")
+
+
 def test_embedding(spark):
-    class Broken:
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "id int, t string")
+    assert {r["id"]: len(r["embedding"]) for r in V.embed(df, "id", "t", V.HashingEmbedder(8)).collect()} == {1: 8, 2: 0, 3: 8}
+    waits = []
+    with pytest.raises(RuntimeError, match="3 tries: no model"):
+        V.embed_batch(Broken(), ["a"], tries=3, jitter=0, sleep=waits.append)
+    assert waits == [1.5, 3.0]
+
+    class Short:
         def embed(self, texts):
-            raise OSError
+            return [[1.0]]
+
+    with pytest.raises(RuntimeError, match="1 vectors for 2 texts"):
+        V.embed_batch(Short(), ["a", "b"], tries=1)
+
 
-    df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string")
-    assert {r["id"]: len(r["embedding"]) for r in V.embed(df, "id", "t", V.HashingEmbedder(8)).collect()} == {1: 8, 2: 8}
+def test_embedding_that_fails(spark):
+    df = spark.createDataFrame([(1, "a b")], "id int, t string")
+    none = type("None_", (), {"embed": lambda self, texts: []})
+    assert [r["embedding"] for r in V.embed(df, "id", "t", none(), tries=1).collect()] == [[]]
+    with pytest.raises(Exception, match="0 vectors for 1 texts"):
+        V.embed(df, "id", "t", none(), tries=1, failed="raise").collect()
 
 
 def test_prompts():
@@ -119,6 +200,9 @@ def test_prompts():
     assert got["contexts"] == ["c"] and got["answer"] == "Topic: T" and got["id"] == "1"
     assert prompts.generate(V.EchoGenerator(), "x\ny", 2, len) == "y"
     assert '"tone": 0' in prompts.judge_prompt("a", ("tone",))
+    older = prompts.format_prompt("T", "blog_post", {"style": {"characteristic_words": ["w"]}, "rhetorical_patterns": ["p"]}, {"constraints": {"min_words": 7}, "structure": ["s"]}, [{"text": "c" * 900}, {"text": ""}, {"text": "d"}])
+    assert "c" * 500 + "\n---\nd\n" in older and "c" * 501 not in older and "Word count: 7-500. Structure: s." in older and older.endswith("Now write a blog post about: T\n\n### Response:\n")
+    assert "(no context available)" in prompts.format_prompt("T", "x", {}, {}, [])
 
 
 def test_validation_gate(spark):

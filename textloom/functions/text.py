@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.plans import config as C
 
 SPACE = r"\s+"
-#: White space as Unicode has it.
+#: White space as Unicode has it, as a class of characters and by property.
+ANY_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 UNICODE_SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 
@@ -98,33 +102,64 @@ def share(c: str | Column, chars: str) -> Column:
 CYRILLIC_CJK = r"[\x{0400}-\x{04FF}\x{3000}-\x{9FFF}\x{AC00}-\x{D7AF}]"
 
 
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
+#: Names that count without a semicolon too, longest first.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: Code points that stand for others: those of the old Windows page, and none.
+_OTHER_POINTS = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+#: Code points that stand for nothing.
+_NO_POINTS = r"[\x{1}-\x{8}\x{e}-\x{1f}\x{7f}-\x{9f}\x{fdd0}-\x{fdef}\x{b}\x{fffe}\x{ffff}]|[\x{1fffe}\x{1ffff}\x{2fffe}\x{2ffff}\x{3fffe}\x{3ffff}\x{4fffe}\x{4ffff}\x{5fffe}\x{5ffff}\x{6fffe}\x{6ffff}\x{7fffe}\x{7ffff}\x{8fffe}\x{8ffff}\x{9fffe}\x{9ffff}\x{afffe}\x{affff}\x{bfffe}\x{bffff}\x{cfffe}\x{cffff}\x{dfffe}\x{dffff}\x{efffe}\x{effff}\x{ffffe}\x{fffff}\x{10fffe}\x{10ffff}]"
+
+
+def _table(values: dict) -> Column:
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in values.items()})), "map<string,string>")
+
+
+def _point(n: Column) -> Column:
+    """The character of a code point; what is none or means nothing as HTML has it."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.coalesce(F.try_element_at(_table(_OTHER_POINTS), n.cast("string")), F.when(char.rlike(_NO_POINTS), "").otherwise(char)))
+
+
 def unescape(c: str | Column) -> Column:
-    """The usual entities; ``udfs.unescape_html`` knows all."""
-    out = text(c)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """All entities of HTML, by name or number, as characters."""
+    t = text(c)
+    names = _table(html5)
+
+    def decoded(e: Column) -> Column:  # without the ampersand
+        digits = F.regexp_extract(e, r"^#[xX]?([0-9a-fA-F]+)", 1)
+        digits = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 9, "1114112").when(F.lower(F.left(e, F.lit(2))) == "#x", F.conv(digits, 16, 10)).otherwise(digits)
+        number = F.coalesce(digits.try_cast("long"), F.lit(0x110000))
+        head = F.regexp_extract(e, "^(" + "|".join(_OPEN_NAMES) + ")", 1)
+        named = F.coalesce(F.try_element_at(names, e), F.when(head != "", F.concat(F.try_element_at(names, head), F.substring(e, F.length(head) + 1, F.length(e)))), F.concat(F.lit("&"), e))
+        return F.when(F.startswith(e, F.lit("#")), let(number, _point)).otherwise(named)
+
+    def whole(x: Column) -> Column:
+        found, between = F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(1)), F.split(x, _ENTITY, -1)
+        return F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(between) - 1), found, lambda a, e: F.concat(a, decoded(e))), ""), F.element_at(between, -1))
+
+    return F.when(F.contains(t, F.lit("&")), let(t, whole)).otherwise(t)
 
 
 def collapse(c: str | Column) -> Column:
-    return F.trim(F.regexp_replace(text(c), SPACE, " "))
+    """Runs of white space, as Unicode has it, become one space; none at the ends."""
+    return F.trim(F.regexp_replace(text(c), ANY_SPACE, " "))
 
 
 def clean_markdown(c: str | Column) -> Column:
     """Entities, urls, links, marks, left-over entities, white space; the url rule goes first and
     takes a link's closing bracket with it."""
-    out = unescape(c)
-    out = F.regexp_replace(out, r"https?://\S+", "")
-    out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    out = F.regexp_replace(out, r"(\*\*|##|~~|`|__)", " ")
-    return collapse(F.regexp_replace(out, r"&\w+;", " "))
+    out = F.regexp_replace(unescape(c), C.WEB_URL, "")
+    out = F.regexp_replace(out, C.MARKDOWN_LINK, "$1")
+    out = F.regexp_replace(out, C.MARKDOWN_MARKS, " ")
+    return collapse(F.regexp_replace(out, "(?U)" + C.LEFT_ENTITY, " "))
 
 
 def clean_collected(c: str | Column) -> Column:
     """The collectors' order: marks before links, no rule for left-over entities."""
-    out = F.regexp_replace(unescape(c), r"(\*\*|~~|`|##+|__)", " ")
-    out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    return collapse(F.regexp_replace(out, r"https?://\S+", ""))
+    out = F.regexp_replace(unescape(c), C.COLLECTED_MARKS, " ")
+    out = F.regexp_replace(out, C.MARKDOWN_LINK, "$1")
+    return collapse(F.regexp_replace(out, C.WEB_URL, ""))
 
 
 def scrub_urls(c: str | Column) -> Column:
@@ -142,8 +177,8 @@ def filler_count(c: str | Column) -> Column:
 def strip_fillers(c: str | Column) -> Column:
     """Interjections, asides between commas and stutters."""
     out = F.regexp_replace(text(c), r"(?i)(?<![\w-])(?:" + "|".join(C.INTERJECTIONS) + r")(?![\w-])", " ")
-    out = F.regexp_replace(out, r"(?i),\s*(?:you know|i mean|kind of|sort of)\s*,", ", ")
-    out = F.regexp_replace(out, r"(?i)\b(\w{1,4})(?:\s+\1\b)+", "$1")
+    out = F.regexp_replace(out, C.ASIDES, ", ")
+    out = F.regexp_replace(out, C.STUTTER, "$1")
     return F.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 
@@ -277,7 +312,9 @@ def parse_date(c: str | Column) -> Column:
 
 
 def video_id(c: str | Column) -> Column:
-    return F.regexp_extract(text(c), "[?&]v=([A-Za-z0-9_-]{11})", 1)
+    """From a url's ``v``, or a bare id; else empty."""
+    t = F.trim(text(c))
+    return F.when(t.rlike("^[A-Za-z0-9_-]{11}$"), t).otherwise(F.regexp_extract(t, "[?&]v=([A-Za-z0-9_-]{11})", 1))
 
 
 def vtt_cues(c: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from functools import wraps
+from functools import lru_cache, wraps
 from html.parser import HTMLParser
 from math import exp, log
 
@@ -30,40 +30,44 @@ def vectorised(kind: str):
 
 
 class _Text(HTMLParser):
-    """Text nodes without scripts and styles; title of the first h1; bodies of articles."""
+    """Text nodes without scripts and styles, and those of the elements that ``PARTS`` name: of each the
+    first that is there."""
 
     SKIP = {"script", "style"}
+    #: (name, tag, class or None)
+    PARTS = (("entry-title", "h1", "entry-title"), ("h1", "h1", None), ("entry-content", "div", "entry-content"), ("article", "article", None))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[str] = []
-        self.h1: list[str] = []
-        self.article: list[str] = []
-        self.skip = self.in_h1 = self.in_article = 0
-        self.h1_done = False
+        self.parts: dict[str, list[str]] = {}
+        self.open: dict[str, int] = {}  # how deep its own tag is nested in a part that is open
+        self.skip = 0
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in self.SKIP
-        self.in_h1 += tag == "h1"
-        self.in_article += tag == "article"
+        classes = (dict(attrs).get("class") or "").split()
+        for name, own, cls in self.PARTS:
+            if tag == own and name in self.open:
+                self.open[name] += 1
+            elif tag == own and name not in self.parts and (cls is None or cls in classes):
+                self.parts[name], self.open[name] = [], 1
 
     def handle_endtag(self, tag):
         if tag in self.SKIP and self.skip:
             self.skip -= 1
-        if tag == "h1" and self.in_h1:
-            self.in_h1 -= 1
-            self.h1_done = True
-        if tag == "article" and self.in_article:
-            self.in_article -= 1
+        for name, own, _ in self.PARTS:
+            if tag == own and name in self.open:
+                self.open[name] -= 1
+                if not self.open[name]:
+                    del self.open[name]
 
     def handle_data(self, data):
         if self.skip:
             return
         self.nodes.append(data)
-        if self.in_h1 and not self.h1_done:
-            self.h1.append(data)
-        if self.in_article:
-            self.article.append(data)
+        for name in self.open:
+            self.parts[name].append(data)
 
 
 def parse_html(s: str) -> _Text:
@@ -79,10 +83,12 @@ def strip_html_text(s: str | None) -> str | None:
 
 
 def article_text(s: str | None, url: str | None) -> tuple[str, str]:
-    """Title (first h1, else the url) and body (article, else the whole page)."""
+    """Title (``h1.entry-title``, else the first h1, else the url) and body (``div.entry-content``, else
+    the first article, else the whole page)."""
     p = parse_html(s or "")
     squeeze = lambda nodes: " ".join(x for x in (n.strip() for n in nodes) if x)
-    return squeeze(p.h1) or url or "", squeeze(p.article or p.nodes)
+    title = p.parts.get("entry-title", p.parts.get("h1"))
+    return url or "" if title is None else squeeze(title), squeeze(p.parts.get("entry-content", p.parts.get("article", p.nodes)))
 
 
 @vectorised("string")
@@ -101,43 +107,59 @@ def unescape_html(s: pd.Series) -> pd.Series:
 
 
 _footers = [re.compile(p, re.IGNORECASE) for p in C.FOOTERS]
-_tail = re.compile(r"\n\s*[—–-]\s*[A-Z][a-z]+\b.*\Z", re.DOTALL)
 
 
-def strip_footer_text(t: str | None, zone: float = 0.62, signature: re.Pattern = _tail) -> str | None:
-    """Without the footer that begins in the last part of a text, and without a signature line and
-    what follows it. Texts under 120 characters stay as they are."""
+def _signed(names: tuple[str, ...]) -> re.Pattern | None:
+    """A line with a dash and one of the names, and all that follows it."""
+    return re.compile(r"\n\s*[—–-]\s*(?:" + "|".join(map(re.escape, names)) + r")\b.*\Z", re.DOTALL | re.IGNORECASE) if names else None
+
+
+def strip_footer_text(t: str | None, zone: float = 0.62, signatures: tuple[str, ...] = ()) -> str | None:
+    """Without the footer that begins in the last part of a text, and without a line signed by one of the
+    names (none, if none are given) and what follows it. Texts under 120 characters stay as they are."""
     if not t or len(s := t.strip()) < 120:
         return t
     least = int(len(s) * zone)
     cut = min((m.start() for p in _footers for m in p.finditer(s) if m.start() >= least), default=len(s))
-    return signature.sub("", s[:cut].rstrip() if cut < len(s) else s).rstrip()
+    out, signed = s[:cut].rstrip() if cut < len(s) else s, _signed(signatures)
+    return (signed.sub("", out) if signed else out).rstrip()
 
 
-@vectorised("string")
-def strip_footer(s: pd.Series) -> pd.Series:
-    return s.map(strip_footer_text)
+def strip_footer(c, signatures: tuple[str, ...] = ()):
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: strip_footer_text(t, signatures=signatures))
+
+    return run(c)
 
 
-_canonical = {w.lower(): w for w in C.CASING}
-_known = re.compile(r"(?<![\w'])(" + "|".join(sorted(map(re.escape, _canonical), key=len, reverse=True)) + r")(?![\w'])", re.IGNORECASE)
 _start = re.compile(r"(^|[.!?]\s+|\n\s*)([a-z])")
 _pronoun = re.compile(r"(?<![\w'])i(?![\w'])|(?<!\w)i(?='[a-z])")
 
 
-def restore_casing_text(t: str | None) -> str | None:
-    """Names and acronyms in their own casing, sentence starts, the pronoun; applying it twice
-    changes nothing more."""
+@lru_cache(maxsize=8)
+def _known(names: tuple[str, ...]) -> tuple[dict[str, str], re.Pattern]:
+    canonical = {w.lower(): w for w in C.CASING + names}
+    return canonical, re.compile(r"(?<![\w'])(" + "|".join(sorted(map(re.escape, canonical), key=len, reverse=True)) + r")(?![\w'])", re.IGNORECASE)
+
+
+def restore_casing_text(t: str | None, names: tuple[str, ...] = ()) -> str | None:
+    """Names and acronyms (``names`` too) in their own casing, sentence starts, the pronoun; applying it
+    twice changes nothing more."""
     if not t:
         return t
-    out = _known.sub(lambda m: _canonical[m[1].lower()], t)
-    out = _pronoun.sub("I", out)
-    return _start.sub(lambda m: m[1] + m[2].upper(), out)
+    canonical, known = _known(names)
+    out = known.sub(lambda m: canonical[m[1].lower()], t)
+    out = _start.sub(lambda m: m[1] + m[2].upper(), out)
+    return _pronoun.sub("I", out)
 
 
-@vectorised("string")
-def restore_casing(s: pd.Series) -> pd.Series:
-    return s.map(restore_casing_text)
+def restore_casing(c, names: tuple[str, ...] = ()):
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: restore_casing_text(t, names))
+
+    return run(c)
 
 
 def split_by_chars(body: str, most: int) -> list[str]:
@@ -188,6 +210,14 @@ def split_by_sentences(body: str, most: int) -> list[str]:
     return _packed(units, most, " ")
 
 
+def word_windows(body: str, most: int) -> list[str]:
+    """Windows of whole words of at most ``most`` characters; a short text as it is."""
+    body = body.strip()
+    if len(body) <= most:
+        return [body] if body else []
+    return _packed(body.split(), most, " ")
+
+
 def chunks_by_chars(most: int):
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:

@@ -58,15 +58,15 @@ def chunk_id(source: str, doc: str, index: str = "chunk_index") -> Column:
     return F.concat_ws("_", F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown")), doc, index)
 
 
-def training_rows(docs: DataFrame, title: Column, source: str, body: str, most: int = C.SFT_CHARS, author: str = C.AUTHOR, sentence_aware: bool = False, *keep: str) -> DataFrame:
-    """(``keep``, part, parts, instruction, input, output). Blank and short bodies, replacement
-    characters and junk titles give no row; long bodies are split and labelled by part. ``most`` of 0
+def training_rows(docs: DataFrame, title: Column, source: str, body: str, most: int = C.SFT_CHARS, author: str = C.AUTHOR, sentence_aware: bool = False, *keep: str, least_words: int = C.MIN_WORDS) -> DataFrame:
+    """(``keep``, part, parts, instruction, input, output). Bodies of fewer than ``least_words`` words, blank
+    and short ones, replacement characters and junk titles give no row; long bodies are split and labelled by part. ``most`` of 0
     gives one row, shortened."""
     keep = keep or ("doc_id",)
     fallback = F.coalesce(F.create_map(*(F.lit(x) for kv in C.FALLBACK_TOPICS.items() for x in kv))[F.col(source)], F.lit(C.DEFAULT_TOPIC))
     t = F.trim(X.text(title))
     rows = docs.withColumn("_body", F.regexp_replace(X.text(body), r"^\s+|\s+$", "")).withColumn("_topic", F.when(t != "", F.left(t, F.lit(200))).otherwise(fallback))
-    rows = rows.where((F.length("_body") >= C.MIN_CHARS) & ~F.contains(F.col("_body"), F.lit("�")) & ~F.contains(F.col("_topic"), F.lit("�")) & ~F.contains(F.lower("_topic"), F.lit(C.JUNK[0])))
+    rows = rows.where((X.word_count(body) >= least_words) & (F.length("_body") >= C.MIN_CHARS) & ~F.contains(F.col("_body"), F.lit("�")) & ~F.contains(F.col("_topic"), F.lit("�")) & ~F.contains(F.lower("_topic"), F.lit(C.JUNK[0])))
     if most <= 0:
         rows = rows.select(*keep, "_topic", F.lit(0).alias("_i"), F.lit(1).alias("parts"), X.truncate("_body").alias("output"))
     else:
@@ -83,3 +83,9 @@ def expand_rows(rows: DataFrame, most: int = C.SFT_CHARS, author: str = C.AUTHOR
     out = long_.select(*keep, "instruction", "input", F.col("output").alias("_whole"), "_n", F.posexplode_outer("_chunks").alias("_i", "_chunk"))
     name = F.concat(F.lit(C.instruction(author=author)), F.format_string("%s (part %d of %d)", X.base_topic("instruction", author), F.col("_i") + 1, "_n"))
     return out.select(*keep, F.when(F.col("_n") > 1, name).otherwise(F.col("instruction")).alias("instruction"), "input", F.when(F.col("_n") > 1, F.col("_chunk")).otherwise(F.col("_whole")).alias("output"), F.col("_n").alias("parts"))
+
+
+def expansion_stats(rows: DataFrame, expanded: DataFrame) -> DataFrame:
+    """One row: rows before and after ``expand_rows``, and how many of them were split."""
+    first = expanded.agg(F.count("*").alias("rows_out"), F.coalesce(F.sum(F.when(F.col("parts") > 1, 1 / F.col("parts"))), F.lit(0)).alias("s"))
+    return first.select(rows.agg(F.count("*")).scalar().alias("rows_in"), "rows_out", F.round("s").cast("long").alias("split_from_long"))

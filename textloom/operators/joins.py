@@ -36,3 +36,27 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def source_shares(matched: DataFrame, source: str) -> DataFrame:
+    """(source, n, percent) of outputs by where they came from, ``unmatched`` for null, and TOTAL."""
+    n = matched.rollup(F.coalesce(F.col(source), F.lit("unmatched")).alias("source")).agg(F.count("*").alias("n"))
+    total = matched.agg(F.count("*")).scalar()
+    return n.select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "n", F.when(total > 0, F.round(100.0 * F.col("n") / total, 1)).otherwise(F.lit(0.0)).alias("percent"))
+
+
+def before_after(titles: DataFrame, before: DataFrame, after: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
+    """(needle, before_title, after_title, chars_before, chars_after): for each beginning of a title the
+    first title in either table that starts with it, and the length of its body. ``titles`` is the small
+    side; it goes to the others by its first characters."""
+    needle = titles.select(F.col(title).alias("needle")).distinct()
+    out = needle
+    for name, df in (("before", before), ("after", after)):
+        own = df.select(F.col(title).alias("_t"), F.length(body).alias("_n"))
+        n = F.least(F.length("needle"), F.lit(PREFIX))
+        lengths = [r[0] for r in needle.select(n.alias("n")).distinct().collect()]  # at most PREFIX numbers
+        keys = own.withColumn("_k", F.explode(F.array(*(F.left("_t", F.lit(k)) for k in sorted(lengths))) if lengths else F.array().cast("array<string>")))
+        hit = needle.join(keys.distinct(), (F.left("needle", F.lit(PREFIX)) == F.col("_k")) & F.col("_t").startswith(F.col("needle")))
+        best = hit.groupBy("needle").agg(F.min(F.struct("_t", "_n")).alias("b")).select("needle", F.col("b._t").alias(f"{name}_title"), F.col("b._n").alias(f"chars_{name}"))
+        out = out.join(best, "needle", "left")
+    return out

@@ -19,9 +19,19 @@ def profile_words(c: str, stop: tuple[str, ...] = C.PROFILE_STOP_WORDS) -> Colum
     return F.filter(F.regexp_extract_all(F.lower(X.text(c)), F.lit("[a-z]{5,}"), F.lit(0)), lambda w: ~w.isin(*stop))
 
 
+#: Words that are letters throughout, as word tokenisers have them: no part of a word with digits,
+#: hyphens, points or slashes inside; endings after an apostrophe and ``n't`` are cut off.
+WORD = r"(?<![\p{L}\p{N}_./'-])\p{L}{3,}?(?=n't(?!\p{L})|'(?:s|ll|re|ve|d|m)(?!\p{L})|(?![\p{L}\p{N}_]|[./'-][\p{L}\p{N}]))"
+
+
 def content_words(c: str) -> Column:
     """Tokens of letters only, three or more, that are not function words."""
-    return F.filter(F.regexp_extract_all(F.lower(X.text(c)), F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*C.STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(X.text(c)), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*C.STOP_WORDS))
+
+
+def sentence_count(c: str) -> Column:
+    """Sentences that are not blank; they end at marks or line breaks."""
+    return F.size(F.filter(F.split(X.text(c), r"[.!?]\s+|\n+"), lambda x: F.trim(x) != ""))
 
 
 def bigrams(words: Column) -> Column:
@@ -57,7 +67,7 @@ def profile(docs: DataFrame, c: str = "text") -> DataFrame:
     pairs = ranked(top_terms(terms(docs, bigrams(w)), 20), "top_bigrams")
     start = ranked(top_terms(terms(docs, starters(c)), 20), "starters")
     frame = ranked(framing(docs, c), "framing")
-    meta = docs.agg(F.count("*").alias("num_documents"), F.sum(F.size(w)).cast("long").alias("num_content_words"))
+    meta = docs.agg(F.count("*").alias("num_documents"), F.sum(sentence_count(c)).cast("long").alias("num_sentences"), F.sum(F.size(w)).cast("long").alias("num_content_words"))
     one = meta
     for df in (words, pairs, start, frame):  # one row each
         one = one.withColumns({df.columns[0]: df.scalar()})

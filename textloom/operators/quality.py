@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import chunk
+from textloom.operators.vector import Generator
 from textloom.plans import config as C
+from textloom.plans import prompts
 
 
 def is_echo(instr: str | Column, out: str | Column, author: str = C.AUTHOR) -> Column:
@@ -69,10 +74,11 @@ def script_flags(c: str | Column) -> dict[str, Column]:
     return {
         "cyrillic_cjk": X.share(c, X.CYRILLIC_CJK) > 0.01,
         "non_ascii": X.share(c, r"[^\x00-\x7f]") > 0.02,
+        "emoji": t.rlike(EMOJI),
         "hashtag": t.rlike(r"#\w+"),
         "mention": t.rlike(r"@\w+"),
         "url": t.rlike(r"(?i)https?://\S+|pic\.twitter\.com/\S+"),
-        "tag": t.rlike(r"(?i)\[(?:music|applause|laughter|crosstalk|inaudible|.{0,15}?)\]"),
+        "tag": t.rlike(C.AUDIT_TAG),
         "lower_start": t.rlike(r"^\s*\p{Ll}"),
     }
 
@@ -94,17 +100,24 @@ def audit_counters(rows: DataFrame, out: str = "output", instr: str = "instructi
     )
 
 
-def clean_rows(rows: DataFrame, order: str = "doc_id", most: int = C.TRUNCATE_CHARS) -> DataFrame:
-    """``rows`` with ``cleaned`` and ``reason``: ``keep``, ``junk`` or ``duplicate`` (the first of equal
-    outputs by ``order`` is kept)."""
-    out = rows.withColumn("_tagged", X.scrub_stage_tags("output")).withColumn("_plain", udfs.strip_footer("_tagged"))
+def clean_rows(rows: DataFrame, order: str = "doc_id", most: int = C.TRUNCATE_CHARS, signatures: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``cleaned``, ``reason``: ``keep``, ``junk`` or ``duplicate`` (the first of equal outputs
+    by ``order`` is kept), and whether it was ``shortened``."""
+    out = rows.withColumn("_tagged", X.scrub_stage_tags("output")).withColumn("_plain", udfs.strip_footer("_tagged", signatures))
     out = out.withColumn("_junk", is_junk("instruction", "_plain")).withColumn("cleaned", X.truncate("_plain", most))
     out = out.withColumn("_d", F.md5(F.trim("cleaned"))).withColumn("_o", F.struct(order, "instruction"))
     # the least of each group by an aggregate: however often an output is copied, no task holds its rows
     first = out.where("not _junk").groupBy(F.col("_d").alias("_g")).agg(F.min("_o").alias("_first"))
     out = out.join(first, F.col("_d") == F.col("_g"), "left")
     reason = F.when(F.col("_junk"), "junk").when(F.col("_o") != F.col("_first"), "duplicate").otherwise("keep")
-    return out.withColumn("reason", reason).drop("_tagged", "_plain", "_junk", "_d", "_o", "_g", "_first")
+    return out.withColumn("reason", reason).withColumn("shortened", F.col("cleaned") != F.col("_plain")).drop("_tagged", "_plain", "_junk", "_d", "_o", "_g", "_first")
+
+
+def cleaning_stats(cleaned: DataFrame) -> DataFrame:
+    """One row of counts from ``clean_rows``."""
+    n = lambda c: F.count_if(c).cast("long")
+    kept = F.col("reason") == "keep"
+    return cleaned.agg(F.count("*").alias("rows_in"), n(kept).alias("rows_out"), n(F.col("reason") == "junk").alias("dropped_junk"), n(F.col("reason") == "duplicate").alias("dropped_duplicates"), n(kept & F.col("shortened")).alias("truncated_outputs"))
 
 
 def stitch(rows: DataFrame, key: str, part: str, out: str) -> DataFrame:
@@ -113,32 +126,69 @@ def stitch(rows: DataFrame, key: str, part: str, out: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["o"]), "").alias("body"), F.count("*").alias("parts"))
 
 
-def clean_bodies(rows: DataFrame, author: str = C.AUTHOR, own_names: tuple[str, ...] = (), most: int = C.SFT_CHARS) -> DataFrame:
+def clean_bodies(rows: DataFrame, author: str = C.AUTHOR, own_names: tuple[str, ...] = (), most: int = C.SFT_CHARS, signatures: tuple[str, ...] = (), generator: Generator | None = None, window: int = 4000) -> DataFrame:
     """Rows of (title, part, instruction, output) without echoes, stitched by title, without guests,
-    intros and foreign scripts, scrubbed, classified, split again and labelled by part."""
+    intros and foreign scripts, scrubbed, classified, split again and labelled by part. With a
+    ``generator`` transcripts get their punctuation back, window by window (``repunctuated``)."""
     own = rows.where(~is_echo("instruction", "output", author))
     whole = stitch(own, "title", "part", "output").where(~is_guest_opener("body", own_names) & ~is_podcast_intro("body") & (X.share("body", X.CYRILLIC_CJK) <= 0.01))
-    plain = whole.withColumn("body", X.scrub_fillers(udfs.strip_footer(X.scrub_urls("body"))))
+    plain = whole.withColumn("body", X.scrub_fillers(udfs.strip_footer(X.scrub_urls("body"), signatures)))
     plain = plain.withColumn("body", F.trim(F.regexp_replace(F.regexp_replace("body", r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")))
     plain = plain.where(F.length("body") >= C.MIN_CHARS).withColumn("style", body_class("body"))
+    if generator is not None:
+        plain = plain.withColumn("body", F.when(F.col("style") == "transcript", repunctuated("body", generator, window)["body"]).otherwise(F.col("body")))
     parts = plain.withColumn("_c", F.filter(udfs.chunks_by_sentences(most)("body"), lambda x: F.length(x) >= C.MIN_CHARS))
     out = parts.select("title", "style", F.size("_c").alias("parts"), F.posexplode("_c").alias("_i", "output"))
     label = F.when(F.col("parts") == 1, F.col("title")).otherwise(F.format_string("%s (part %d of %d)", "title", F.col("_i") + 1, "parts"))
     return out.select("title", "style", (F.col("_i") + 1).alias("part"), "parts", F.concat(F.lit(C.instruction(author=author)), label).alias("instruction"), "output")
 
 
-def prepare(rows: DataFrame, most: int = C.SFT_CHARS, author: str = C.AUTHOR) -> DataFrame:
+def prepare(rows: DataFrame, most: int = C.SFT_CHARS, author: str = C.AUTHOR, signatures: tuple[str, ...] = ()) -> DataFrame:
     """Split long outputs first, then clean."""
-    return clean_rows(chunk.expand_rows(rows, most, author)).where("reason = 'keep'")
+    return clean_rows(chunk.expand_rows(rows, most, author), signatures=signatures).where("reason = 'keep'")
 
 
 def source_instruction(source: str) -> Column:
     """What a post of a source answers."""
-    s = F.col(source)
-    return F.when(s == "blog", "Write a blog post on a business topic.").when(s == "linkedin", "Write a LinkedIn post on a business topic.").when(s == "podcast", "Explain a business topic as on a podcast.").otherwise("Write about a business topic.")
+    names = F.create_map(*(F.lit(x) for kv in C.SOURCE_INSTRUCTIONS.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, X.text(source)), F.lit(C.SOURCE_INSTRUCTION))
 
 
 def drifted(before: str, after: str, limit: float = 0.10) -> Column:
     """Whether a rewritten text lost or gained more than a share of its words."""
     n = X.word_count(before)
     return F.when(n > 0, F.abs(X.word_count(after) - n) / n > limit).otherwise(F.lit(False))
+
+
+def repunctuated(c: str, generator: Generator, window: int = 4000, tries: int = 2, limit: float = 0.10) -> Column:
+    """(body, windows, ok, fallback): a text rewritten by a model in windows of whole words. An answer that
+    is empty or has lost or gained more than ``limit`` of the words, or a model that fails, is asked for again
+    ``tries`` times in all; then the window stays as it was."""
+
+    @F.pandas_udf("body string, windows int, ok int, fallback int")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            parts, good = udfs.word_windows(t or "", window), 0
+            for k, w in enumerate(parts):
+                if (new := _rewritten(generator, w, tries, limit)) is not None:
+                    parts[k], good = new, good + 1
+            body = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", " ".join(parts).strip()))
+            out.append((body, len(parts), good, len(parts) - good))
+        return pd.DataFrame(out, columns=["body", "windows", "ok", "fallback"])
+
+    return run(c)
+
+
+def _rewritten(generator: Generator, text: str, tries: int, limit: float) -> str | None:
+    for _ in range(tries):
+        try:
+            new = generator.generate(prompts.repunctuation_prompt(text))
+        except OSError:
+            continue
+        new = re.sub(r"(?i)^\s*(?:here(?:'s| is) (?:the )?(?:corrected|repunct[^:\n]*?)[:\s]+|corrected text[:\s]+|corrected[:\s]+)", "", new.strip())
+        new = re.sub(r"\s*>>>$", "", re.sub(r"^<<<\s*", "", new.strip())).strip()
+        n = len(text.split())
+        if new and n and abs(len(new.split()) - n) / n <= limit:
+            return new
+    return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -50,30 +52,53 @@ class EchoGenerator:
         return prompt.strip().splitlines()[-1] if prompt.strip() else ""
 
 
-def embed(rows: DataFrame, key: str, c: str, embedder: Embedder, batch: int = 128, most: int = 12_000, tries: int = 5) -> DataFrame:
-    """(key, embedding): texts cut at ``most`` characters go to the model in batches; a batch that
-    fails ``tries`` times gives empty vectors."""
+def embed_batch(embedder: Embedder, texts: list[str], tries: int = 5, base: float = 1.5, jitter: float = 0.75, sleep=time.sleep) -> list[list[float]]:
+    """Vectors of a batch. A call that fails, or gives another number of vectors, is made again after
+    ``base`` * 2^k seconds and up to ``jitter`` more; after ``tries`` the last error is raised."""
+    problem = ""
+    for k in range(tries):
+        try:
+            got = embedder.embed(texts)
+            if len(got) == len(texts):
+                return got
+            problem = f"{len(got)} vectors for {len(texts)} texts"
+        except Exception as e:  # whatever the model's client raises
+            problem = str(e)
+        if k < tries - 1:
+            sleep(base * 2**k + random.uniform(0, jitter))
+    raise RuntimeError(f"no embedding after {tries} tries: {problem}")
+
+
+def embed(rows: DataFrame, key: str, c: str, embedder: Embedder, batch: int = 128, most: int = 12_000, tries: int = 5, base: float = 1.5, failed: str = "empty") -> DataFrame:
+    """(key, embedding): texts cut at ``most`` characters go to the model in batches. Blank texts get an
+    empty vector; so do the texts of a batch that fails, or with ``failed="raise"`` the job fails."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, batch):
                 part = b.slice(k, batch)
-                texts = [(t or "")[:most] for t in part.column(1).to_pylist()]
-                got: list[list[float]] = [[] for _ in texts]
-                for _ in range(tries):
-                    try:
-                        new = embedder.embed(texts)
-                    except OSError:
-                        continue
-                    if len(new) == len(texts):
-                        got = new
-                        break
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float32()))], names=["k", "embedding"])
+                texts = [(t or "").strip()[:most] for t in part.column(1).to_pylist()]
+                some = [t for t in texts if t]
+                try:
+                    vectors = iter(embed_batch(embedder, some, tries, base) if some else [])
+                except RuntimeError:
+                    if failed == "raise":
+                        raise
+                    vectors = iter([[]] * len(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([next(vectors) if t else [] for t in texts], pa.list_(pa.float32()))], names=["k", "embedding"])
 
     return rows.select(F.col(key).alias("k"), X.text(c).alias("t")).mapInArrow(run, f"k {kind}, embedding array<float>").withColumnRenamed("k", key)
 
 
+def rebuild(rows: DataFrame, key: str, c: str, embedder: Embedder, path: str, batch: int = 64, **options) -> dict[str, int]:
+    """Embed all rows and put a new collection in the old one's place; rows without a vector are left out
+    and counted."""
+    from textloom.sources import writers
+
+    return writers.replace_collection(embed(rows, key, c, embedder, batch, **options), path)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -166,8 +166,12 @@ def vocab_intersection(spark, d):
     return read(spark, d, "documents").select("doc_id", X.vocab_overlap("text", ("the", "and", "of", "der", "que", "de")).alias("overlap"))
 
 
-#: Of every fifth document only; the query takes them all.
-_OUT = "select 3 * doc_id + k as out_id, case k when 0 then text when 1 then left(text, 200) else text || ' more' end as output from documents, (select unnest([0, 1, 2]) as k) where doc_id % 5 = 0 and text <> ''"
+_OUT = "select 3 * doc_id + k as out_id, case k when 0 then text when 1 then left(text, 200) else text || ' more' end as output from documents, (select unnest([0, 1, 2]) as k) where text <> ''"
+
+
+def _outputs(docs):
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in ((0, F.col("text")), (1, F.left("text", F.lit(200))), (2, F.concat("text", F.lit(" more")))))))
+    return docs.where("text <> ''").select("doc_id", kinds.alias("x")).select((3 * F.col("doc_id") + F.col("x.k")).alias("out_id"), F.col("x.t").alias("output"))
 
 
 @query(f"""with o as ({_OUT}), m as (
@@ -179,8 +183,7 @@ select out_id, doc_id as src, coalesce(how, 'none') as how from o left join
 def lineage_prefix_match(spark, d):
     """Outputs made of every document: whole, shortened, lengthened."""
     docs = read(spark, d, "documents")
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in ((0, F.col("text")), (1, F.left("text", F.lit(200))), (2, F.concat("text", F.lit(" more")))))))
-    out = docs.where("text <> ''").select("doc_id", kinds.alias("x")).select((3 * F.col("doc_id") + F.col("x.k")).alias("out_id"), F.col("x.t").alias("output"))
+    out = _outputs(docs)
     return joins.match_lineage(out, docs, "output", "text", "out_id", "doc_id").withColumnRenamed("doc_id", "src")
 
 
@@ -188,7 +191,9 @@ def _top(expr, n, where=""):
     return f"select term, count(*) as n from (select unnest({expr}) as term from documents) {where} group by 1 order by 2 desc, 1 limit {n}"
 
 
-_LETTERS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+'), lambda w: len(w) > 2 and not list_contains([" + quoted(C.STOP_WORDS) + "], w))"
+#: Tokens by another way than the engine's: stretches without white space and marks, without points at
+#: their ends and endings after an apostrophe, that are letters throughout.
+_LETTERS = r"list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN_./''-]+'), lambda w: regexp_replace(regexp_replace(regexp_replace(w, '^[./-]+|[./''-]+$', '', 'g'), chr(39) || '(s|ll|re|ve|d|m)$', ''), 'n''t$', '')), lambda w: regexp_full_match(w, '\pL{3,}') and not list_contains([" + quoted(C.STOP_WORDS) + "], w))"
 
 
 @query(_top("regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}')", 50, f"where term not in ({quoted(C.PROFILE_STOP_WORDS)})"))
@@ -224,9 +229,12 @@ def framing_counts(spark, d):
     return P.framing(docs)
 
 
-@query(f"select count(*) as num_documents, cast(sum(len({_LETTERS})) as bigint) as num_content_words from documents")
+_SENTENCES = r"len(list_filter(string_split_regex(coalesce(text, ''), '[.!?]\s+|\n+'), lambda x: trim(x) <> ''))"
+
+
+@query(f"select count(*) as num_documents, cast(sum({_SENTENCES}) as bigint) as num_sentences, cast(sum(len({_LETTERS})) as bigint) as num_content_words from documents")
 def persona_meta_counts(spark, d):
-    return read(spark, d, "documents").agg(F.count("*").alias("num_documents"), F.sum(F.size(P.content_words("text"))).cast("long").alias("num_content_words"))
+    return read(spark, d, "documents").agg(F.count("*").alias("num_documents"), F.sum(P.sentence_count("text")).cast("long").alias("num_sentences"), F.sum(F.size(P.content_words("text"))).cast("long").alias("num_content_words"))
 
 
 @query()
@@ -261,9 +269,8 @@ def incremental_dedup_stream(spark, d):
     """The events as a stream that is read to its end and holds each id once."""
     import uuid
 
-    name, schema = f"events_{uuid.uuid4().hex}", read(spark, d, "events").schema.simpleString()
+    name = f"events_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "*").parquet(_as_glob(d))
-    assert schema
     q = incremental.new_ids(stream, "event_id").groupBy("event_type").agg(F.count("*").alias("n")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
@@ -271,3 +278,33 @@ def incremental_dedup_stream(spark, d):
 
 def _as_glob(d: str) -> str:
     return f"{d}/events.parque[t]"
+
+
+_MATCHED = f"""o as ({_OUT}), m as (
+select out_id, doc_id, 0 as rank, -length(text) as neg from o join documents on text = output
+union all select out_id, doc_id, 1, -length(text) from o join documents on starts_with(text, output) and length(text) > length(output)
+union all select out_id, doc_id, 2, -length(text) from o join documents on starts_with(output, text) and length(text) < length(output) and text <> ''),
+x as (select out_id, doc_id as src from (select out_id from o union all select -1 - doc_id from documents) left join (select out_id, doc_id from m qualify row_number() over (partition by out_id order by rank, neg, doc_id) = 1) using (out_id))"""
+
+
+@query(f"""with {_MATCHED}, y as (select coalesce(source, 'unmatched') as source from x left join documents on src = doc_id)
+select coalesce(source, 'TOTAL') as source, count(*) as n, round(100.0 * count(*) / (select count(*) from y), 1) as percent from y group by rollup (source)""")
+def matched_source_shares(spark, d):
+    """Outputs of every document and as many that match none."""
+    docs = read(spark, d, "documents")
+    none = docs.select((-1 - F.col("doc_id")).alias("out_id"), F.concat(F.lit("\x02 none "), "doc_id").alias("output"))
+    m = joins.match_lineage(_outputs(docs).unionByName(none), docs, "output", "text", "out_id", "doc_id")
+    return joins.source_shares(m.join(docs.select("doc_id", "source"), "doc_id", "left"), "source")
+
+
+@query("""with t as (select 'T' || (doc_id % 50) || ' ' || coalesce(source, '') as title, coalesce(text, '') as body, doc_id from documents),
+a as (select title, body from t where doc_id % 2 = 0), b as (select title || ' new' as title, body || '!' as body from t where doc_id % 3 = 0), n as (select unnest(['T1', 'T2 src', 'T49 src1', 'T7 ', 'none', 'T33 src12 ne']) as needle)
+select needle, coalesce(chars_before, -1) as chars_before, before_title, coalesce(chars_after, -1) as chars_after, after_title from (select needle, (select min(title) from a where starts_with(title, needle)) as before_title, (select min(length(body)) from a where title = (select min(title) from a where starts_with(title, needle))) as chars_before,
+(select min(title) from b where starts_with(title, needle)) as after_title, (select min(length(body)) from b where title = (select min(title) from b where starts_with(title, needle))) as chars_after from n)""")
+def before_after_titles(spark, d):
+    """Bodies before and after a change, by the beginnings of their titles."""
+    t = read(spark, d, "documents").select(F.concat(F.lit("T"), F.col("doc_id") % 50, F.lit(" "), X.text("source")).alias("title"), X.text("text").alias("body"), "doc_id")
+    a = t.where("doc_id % 2 = 0")
+    b = t.where("doc_id % 3 = 0").select(F.concat("title", F.lit(" new")).alias("title"), F.concat("body", F.lit("!")).alias("body"))
+    out = joins.before_after(spark.createDataFrame([(x,) for x in ("T1", "T2 src", "T49 src1", "T7 ", "none", "T33 src12 ne")], "title string"), a, b)
+    return out.select("needle", "before_title", F.coalesce("chars_before", F.lit(-1)).cast("long").alias("chars_before"), "after_title", F.coalesce("chars_after", F.lit(-1)).cast("long").alias("chars_after"))

@@ -46,6 +46,20 @@ def build_prompt(profile: dict, spec: dict, context: str, request: dict) -> str:
     return f"Write in this voice.\n\n{summarize(profile)}\n\nFormat:\n{describe_spec(spec)}\n\nExcerpts:\n{context}\n\nTask:\n{ask}\n"
 
 
+def format_prompt(topic: str, kind: str, profile: dict, spec: dict, chunks: list[dict], author: str = "the author") -> str:
+    """The older form: system, format, context (500 characters of each chunk that has text), request."""
+    style, limits = profile.get("style", {}), spec.get("constraints", {})
+    joined = lambda xs, sep="; ": sep.join(xs or [])
+    system = f"Write in the style of {author}. Use these characteristics: {joined(profile.get('rhetorical_patterns', [])[:4])}. Characteristic vocabulary: {joined(style.get('characteristic_words', [])[:15], ', ')}."
+    shape = f"Format: {spec.get('format_name', kind)}. Word count: {limits.get('min_words', 100)}-{limits.get('max_words', 500)}. Structure: {joined(spec.get('structure'))}. Tone: {joined(spec.get('tone'))}. Do NOT use these phrases: {joined(spec.get('prohibited_patterns'), ', ')}."
+    context = "\n---\n".join(c["text"][:500] for c in chunks if c.get("text")) or "(no context available)"
+    return f"### System:\n{system}\n\n### Format:\n{shape}\n\n### Context (relevant writing from {author}):\n{context}\n\n### Request:\nNow write a {kind.replace('_', ' ')} about: {topic}\n\n### Response:\n"
+
+
+def repunctuation_prompt(text: str) -> str:
+    return f"Restore punctuation and capitals. Keep every word and their order; output only the corrected text.\n\nTranscript to fix:\n<<<\n{text}\n>>>\n\nCorrected:"
+
+
 def judge_prompt(answer: str, dims: tuple[str, ...], anchor: str = "") -> str:
     shape = json.dumps({d: 0 for d in dims} | {"comment": ""})
     sample = f"A sample of the author:\n{anchor}\n\n" if anchor else ""

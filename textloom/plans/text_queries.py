@@ -9,34 +9,32 @@ from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import quality as Q
 from textloom.plans import config as C
-from textloom.plans.registry import cap, clean_markdown, count, punct, query, quoted, read
+from textloom.plans.registry import SPACES, cap, clean_markdown, count, footer, punct, query, quoted, read, strip, unescape
 from textloom.sources import readers
 
-#: What the queries clean: whole texts. The SQL still cleans their first 300 or 400 characters only.
-_WHOLE = "coalesce(text, '')"
-_MARKED = "concat('**', left(coalesce(text, ''), 300), '** [here](/p/', doc_id, ') [out](https://x.io/a) now &amp; `code` __x__ &lt;b&gt; &nbsp; AT&amp;T')"
+_MARKED = "concat('**', coalesce(text, ''), '** [here](/p/', doc_id, ') [out](https://x.io/a) now &amp; `code` __x__ &lt;b&gt; &nbsp; AT&amp;T caf&eacute; it&rsquo;s&mdash;so&hellip; &#8217;&#x2014; &nosuch; &amp;amp;')"
 
 
 @query(f"select doc_id, {clean_markdown(_MARKED)} as cleaned_text from documents")
 def clean_text_markdown(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED.replace("left(coalesce(text, ''), 300)", _WHOLE)).alias("m"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED).alias("m"))
     return docs.select("doc_id", X.clean_markdown("m").alias("cleaned_text"))
 
 
 @query(rf"""with m as (select doc_id, {_MARKED} as m from documents)
-select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(m, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '(\*\*|~~|`|##+|__)', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'g'), '\s+', ' ', 'g')) as cleaned_text from m""")
+select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({unescape("m")}, '(\*\*|~~|`|##+|__)', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 'https?://\S+', '', 'g'), '{SPACES}', ' ', 'g')) as cleaned_text from m""")
 def collector_clean(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED.replace("left(coalesce(text, ''), 300)", _WHOLE)).alias("m"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_MARKED).alias("m"))
     return docs.select("doc_id", X.clean_collected("m").alias("cleaned_text"))
 
 
-_SPOKEN = "concat('Um, so uh we went ahead hmm. see https://a.io/x?y=1 or t.co/abc ', left(coalesce(text, ''), 400), ' aha! pic.twitter.com/q')"
+_SPOKEN = "concat('Um, so uh we went ahead hmm. see https://a.io/x?y=1 or t.co/abc ', coalesce(text, ''), ' aha! pic.twitter.com/q')"
 
 
 @query(rf"""with s as (select doc_id, {_SPOKEN} as s from documents)
 select doc_id, regexp_replace(regexp_replace(s, '{C.URLS}', '', 'g'), '{C.FILLERS}', '', 'g') as scrubbed, len(regexp_extract_all(s, '{C.FILLERS}')) as n_fillers from s""")
 def scrub_urls_fillers(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.expr(_SPOKEN.replace("left(coalesce(text, ''), 400)", _WHOLE)).alias("s"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_SPOKEN).alias("s"))
     return docs.select("doc_id", X.scrub_fillers(X.scrub_urls("s")).alias("scrubbed"), X.filler_count("s").cast("long").alias("n_fillers"))
 
 
@@ -46,35 +44,59 @@ def strip_stutters(spark, d):
     return docs.select("doc_id", X.strip_fillers("s").alias("plain"))
 
 
-_TAGGED = "concat('[Music]  Hello   there [loud applause] ', left(text, 300), chr(10), chr(10), chr(10), chr(10), 'end  ', chr(10), '[not a tag] ')"
+_TAGGED = "concat('[Music]  Hello   there [loud applause] ', text, chr(10), chr(10), chr(10), chr(10), 'end  ', chr(10), '[not a tag] ')"
 
 
 @query(rf"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TAGGED}, '{C.STAGE_TAGS}', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'),
 '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') as plain from conversations""")
 def transcript_markup_scrub(spark, d):
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.expr(_TAGGED.replace("left(text, 300)", "text")).alias("t"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.expr(_TAGGED).alias("t"))
     return c.select("conv_id", "turn", X.scrub_stage_tags("t").alias("plain"))
 
 
-@query()
+def _nodes(x: str) -> str:
+    """Text nodes in SQL: what stands between tags and comments, without scripts and styles."""
+    bare = f"regexp_replace({x}, '(?s)<script.*?</script>|<style.*?</style>', '<x>', 'g')"
+    return f"list_transform(list_filter(string_split_regex({bare}, '(?s)<!--.*?-->|<[^>]*>'), lambda x: x <> ''), lambda x: {unescape('x')})"
+
+
+def _said(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform({_nodes(x)}, lambda x: {strip('x')}), lambda x: x <> ''), ' ')"
+
+
+@query(f"select page_id, array_to_string({_nodes('html')}, ' ') as plain from pages")
 def strip_html_pages(spark, d):
     return read(spark, d, "pages").select("page_id", udfs.strip_html("html").alias("plain"))
 
 
-@query()
+_PAGE = """case when page_id % 3 = 0 then replace(replace(html, '<article>', '<article><div class="x entry-content"><div>in</div>'), '</article>', '</div>tail</article>') else html end"""
+
+
+@query(rf"""with p as (select page_id, url, {_PAGE} as h from pages), c as (select *, case when page_id % 3 = 0 then regexp_extract(h, '(?s)entry-content">(.*)</div>tail', 1) when contains(h, '<article') then regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1) else h end as b from p)
+select page_id, case when contains(h, '<h1') then {_said("regexp_extract(h, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} else url end as title, {_said("b")} as body from c""")
 def article_extract(spark, d):
-    return read(spark, d, "pages").select("page_id", udfs.extract_article("html", "url").alias("a")).select("page_id", "a.*")
+    pages = read(spark, d, "pages").select("page_id", "url", F.expr(_PAGE).alias("h"))
+    return pages.select("page_id", udfs.extract_article("h", "url").alias("a")).select("page_id", "a.*")
 
 
-@query()
+_SIGNED = "concat(coalesce(text, ''), case doc_id % 3 when 0 then concat(chr(10), '- Apples are good', chr(10), 'and so on', chr(10)) when 1 then concat(chr(10), 'Related Posts', chr(10), 'more', chr(10)) else concat(chr(10), ' READ  MORE', chr(10), chr(10), 'READ MORE ', chr(10), chr(8212), ' Ann said') end)"
+
+
+@query(f"select doc_id, {footer(_SIGNED)} as plain from documents")
 def footer_scrub(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.concat(X.text("text"), F.lit("\nRelated Posts\nmore\n")).alias("t"))
+    docs = read(spark, d, "documents").select("doc_id", F.expr(_SIGNED.replace("chr(8212)", "'\u2014'")).alias("t"))
     return docs.select("doc_id", udfs.strip_footer("t").alias("plain"))
 
 
-@query()
+_CASES = "map([" + quoted(w.lower() for w in C.CASING) + "], [" + quoted(C.CASING) + "])"
+
+
+@query(rf"""with t as (select doc_id, list_transform(regexp_extract_all('i think saas and ai. i''m sure ' || lower(coalesce(text, '')), '[\pL\pN_'']+|[^\pL\pN_'']+'), lambda w: coalesce({_CASES}[w], w)) as w from documents),
+s as (select doc_id, string_split(regexp_replace(array_to_string(w, ''), '((?:^|[.!?]\s+|\n\s*))([a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)) as p from t),
+u as (select doc_id, p[1] || array_to_string(list_transform(p[2:], lambda x: upper(left(x, 1)) || substr(x, 2)), '') as x from s)
+select doc_id, array_to_string(list_transform(regexp_extract_all(x, '[\pL\pN_'']+|[^\pL\pN_'']+'), lambda w: case when w = 'i' then 'I' when regexp_matches(w, '^i''[a-z]') then 'I' || substr(w, 2) else w end), '') as cased from u""")
 def restore_casing(spark, d):
-    return read(spark, d, "documents").select("doc_id", udfs.restore_casing(F.concat(F.lit("i think saas and ai. "), F.lower(X.text("text")))).alias("cased"))
+    return read(spark, d, "documents").select("doc_id", udfs.restore_casing(F.concat(F.lit("i think saas and ai. i'm sure "), F.lower(X.text("text")))).alias("cased"))
 
 
 _TITLES = "case doc_id % 4 when 0 then '' when 1 then null else 'T' || doc_id end"
@@ -117,18 +139,18 @@ when caps and punct and contains(t, chr(10)) then 'blog_post_chunk' when not cap
 
 
 @query(f"""with c as (select text as t, {cap("text")} > 0.05 as caps, {punct("text")} > 0.02 as punct from (select coalesce(text, '') as text from documents))
-select {_AUDIT} as class, count(*) as n, median(length(t)) as median_chars, max(length(t)) as max_chars from c group by 1""")
+select {_AUDIT} as class, count(*) as n, round(100.0 * count(*) / (select count(*) from documents), 1) as percent, median(length(t)) as median_chars, max(length(t)) as max_chars from c group by 1""")
 def audit_class(spark, d):
     docs = read(spark, d, "documents")
-    return docs.groupBy(Q.audit_class("text").alias("class")).agg(F.count("*").alias("n"), F.median(F.length(X.text("text"))).alias("median_chars"), F.max(F.length(X.text("text"))).cast("long").alias("max_chars"))
+    return docs.groupBy(Q.audit_class("text").alias("class")).agg(F.count("*").alias("n"), F.round(100.0 * F.count("*") / docs.agg(F.count("*")).scalar(), 1).alias("percent"), F.median(F.length(X.text("text"))).alias("median_chars"), F.max(F.length(X.text("text"))).cast("long").alias("max_chars"))
 
 
-@query(r"""with t as (select doc_id, coalesce(text, '') || case when doc_id % 3 = 0 then ' #tag @me https://a.b [Music] Жук' else '' end as t from documents)
+@query(r"""with t as (select doc_id, coalesce(text, '') || case when doc_id % 3 = 0 then ' #tag @me https://a.b [Music] Жук 🚀' else '' end as t from documents)
 select count(*) filter (len(regexp_extract_all(t, '[\x{0400}-\x{04FF}\x{3000}-\x{9FFF}\x{AC00}-\x{D7AF}]')) / greatest(length(t), 1) > 0.01) as cyrillic_cjk,
-count(*) filter (len(regexp_extract_all(t, '[^\x00-\x7f]')) / greatest(length(t), 1) > 0.02) as non_ascii, count(*) filter (regexp_matches(t, '#\w+')) as hashtag, count(*) filter (regexp_matches(t, '@\w+')) as mention,
+count(*) filter (len(regexp_extract_all(t, '[^\x00-\x7f]')) / greatest(length(t), 1) > 0.02) as non_ascii, count(*) filter (regexp_matches(t, '[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}]')) as emoji, count(*) filter (regexp_matches(t, '#\w+')) as hashtag, count(*) filter (regexp_matches(t, '@\w+')) as mention,
 count(*) filter (regexp_matches(t, '(?i)https?://\S+|pic\.twitter\.com/\S+')) as url, count(*) filter (regexp_matches(t, '(?i)\[(?:music|applause|laughter|crosstalk|inaudible|.{0,15}?)\]')) as tag, count(*) filter (regexp_matches(t, '^\s*\p{Ll}')) as lower_start from t""")
 def script_share_flags(spark, d):
-    docs = read(spark, d, "documents").select(F.concat(X.text("text"), F.when(F.col("doc_id") % 3 == 0, " #tag @me https://a.b [Music] Жук").otherwise("")).alias("t"))
+    docs = read(spark, d, "documents").select(F.concat(X.text("text"), F.when(F.col("doc_id") % 3 == 0, " #tag @me https://a.b [Music] Жук 🚀").otherwise("")).alias("t"))
     return docs.agg(*(F.count_if(c).alias(k) for k, c in Q.script_flags("t").items()))
 
 
@@ -176,10 +198,9 @@ def doc_identity(spark, d):
     return read(spark, d, "documents").select("doc_id", X.stable_id("text").alias("stable_id"), X.doc_identity("source", url, F.lit(""), "text").alias("identity"))
 
 
-@query("""with p as (select doc_id as id, source, text, 1 as score from documents where doc_id < 100 union all select conv_id, null, text, null from conversations)
+@query("""with p as (select doc_id as id, source, text, 1 as score from documents union all select conv_id, null, text, null from conversations)
 select coalesce(source, 'talk') as source, count(*) as n, count(score) as n_scored from p group by 1""")
 def pad_union(spark, d):
-    """All documents; the SQL has those with ids below 100 only."""
     a = read(spark, d, "documents").selectExpr("doc_id as id", "source", "text", "'1' as score")
     b = read(spark, d, "conversations").selectExpr("conv_id as id", "text", "'n/a' as score")
     return readers.padded(a, b, source="talk").groupBy("source").agg(F.count("*").alias("n"), F.count("score").alias("n_scored"))
@@ -191,3 +212,23 @@ def funnel_normalised(spark, d):
     blog = readers.from_blog(read(spark, d, "documents").selectExpr("'' as title", "'' as date", "'' as url", "text as content", "'' as text"))
     x = readers.from_x(read(spark, d, "conversations").selectExpr("text", "'' as url", "'' as created_at", "turn % 2 = 1 as is_reply", "false as is_repost_or_quote"))
     return blog.unionByName(x).groupBy("source").agg(F.count("*").alias("n"), F.count_if(X.word_count("text") >= 50).alias("n_long"))
+
+
+@query(f"""select source, {clean_markdown("coalesce(text, '')")} as output, '' as input, case source when 'blog' then '{C.SOURCE_INSTRUCTIONS["blog"]}' when 'podcast' then '{C.SOURCE_INSTRUCTIONS["podcast"]}' when 'saas_video' then '{C.SOURCE_INSTRUCTIONS["saas_video"]}' else '{C.SOURCE_INSTRUCTION}' end as instruction
+from (select case doc_id % 4 when 0 then 'blog' when 1 then 'podcast' when 2 then 'saas_video' else source end as source, text from documents)""")
+def instruction_rows(spark, d):
+    docs = read(spark, d, "documents").selectExpr("case doc_id % 4 when 0 then 'blog' when 1 then 'podcast' when 2 then 'saas_video' else source end as source", "text")
+    return docs.select("source", X.clean_markdown("text").alias("output"), F.lit("").alias("input"), Q.source_instruction("source").alias("instruction"))
+
+
+@query("select split_part(url, '#', 1) as url, min(page_id) as page_id from (select page_id, url || case when page_id % 2 = 0 then '#top' else '' end as url from pages union all select page_id + 1000, url from pages) where split_part(url, '#', 1) <> '' group by 1 order by 2, 1 limit 40")
+def ordered_page_urls(spark, d):
+    p = read(spark, d, "pages").select("page_id", "url")
+    both = p.withColumn("url", F.concat("url", F.when(F.col("page_id") % 2 == 0, "#top").otherwise(""))).unionByName(p.withColumn("page_id", F.col("page_id") + 1000))
+    return readers.ordered_urls(both, "url", "page_id", 40)
+
+
+@query("select page_id, case page_id % 3 when 0 then 'abcdefghi' || lpad(page_id::varchar, 2, '0')[-2:] when 1 then 'v0000000_-' || (page_id % 10) else '' end as video_id from pages")
+def video_ids(spark, d):
+    id_ = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("abcdefghi"), F.substring(F.lpad(F.col("page_id").cast("string"), 2, "0"), -2, 2))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://y.com/watch?a=b&v=v0000000_-"), F.col("page_id") % 10, F.lit("&t=1"))).otherwise(F.col("url"))
+    return read(spark, d, "pages").select("page_id", X.video_id(id_).alias("video_id"))

@@ -10,7 +10,7 @@ from textloom.operators import analytics as A
 from textloom.operators import chunk
 from textloom.operators import quality as Q
 from textloom.plans import config as C
-from textloom.plans.registry import count, has_any, query, read, words
+from textloom.plans.registry import cap, count, footer, has_any, punct, query, read, truncated, words
 
 
 def _windows(size: int, step: int, whole: bool) -> str:
@@ -67,7 +67,9 @@ def sentence_chunks(spark, d):
     return chunk.training_rows(read(spark, d, "documents"), F.concat(F.lit("Topic "), "doc_id"), "source", "text", 600, sentence_aware=True)
 
 
-@query()
+@query(r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+(["''“‘(\[]?[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as s from documents),
+p as (select doc_id, list_reduce(list_transform(s, lambda x: [x]), lambda a, b: case when length(a[-1]) + 1 + length(b[1]) <= 600 then list_concat(a[:-2], [a[-1] || ' ' || b[1]]) else list_concat(a, b) end) as p from s where len(s) > 0)
+select doc_id, unnest(range(len(p)))::int as i, unnest(p) as piece from p""")
 def sentence_pack(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(chunk.pack_sentences("text", 600)).alias("i", "piece"))
 
@@ -123,13 +125,20 @@ def podcast_intros(spark, d):
 
 
 @query(f"""with {_ROWS} select count(*) as n_rows, count(*) filter (length(output) < 80) as n_short, count(*) filter ({has_any('output', C.AUDIT_INTRO_PHRASES)}) as n_intro,
-count(*) filter (regexp_matches(instruction, '\\(part\\s+\\d+\\s+of\\s+([2-9]|\\d\\d+)\\)\\s*$')) as n_multi_part, count(*) - count(distinct trim(output)) as n_duplicates from rows""")
+count(*) filter (regexp_matches(instruction, '\\(part\\s+\\d+\\s+of\\s+([2-9]|\\d\\d+)\\)\\s*$')) as n_multi_part, count(*) - count(distinct trim(output)) as n_duplicates,
+count(*) filter (regexp_matches(lower(left(output, 300)), '{C.GUEST.replace(chr(39), chr(39) * 2)}')) as n_guest,
+count(*) filter (instruction like '%...' and length(regexp_replace(substr(instruction, {len(C.instruction()) + 1}), '[. …]+$', '')) >= 40 and starts_with(lower(left(trim(output), 80)), left(lower(left(trim(regexp_replace(substr(instruction, {len(C.instruction()) + 1}), '[. …]+$', '')), 60)), length(trim(output))))) as n_echo,
+count(*) filter (len(regexp_extract_all(output, '[\\x{{0400}}-\\x{{04FF}}\\x{{3000}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]')) / greatest(length(output), 1) > 0.01) as n_cyrillic_cjk, count(*) filter (len(regexp_extract_all(output, '[^\\x00-\\x7f]')) / greatest(length(output), 1) > 0.02) as n_non_ascii,
+count(*) filter (regexp_matches(output, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2700}}-\\x{{27BF}}]')) as n_emoji, count(*) filter (regexp_matches(output, '#\\w+')) as n_hashtag, count(*) filter (regexp_matches(output, '@\\w+')) as n_mention,
+count(*) filter (regexp_matches(output, '(?i)https?://\\S+|pic\\.twitter\\.com/\\S+')) as n_url, count(*) filter (regexp_matches(output, '(?i)\\[(?:music|applause|laughter|crosstalk|inaudible|.{{0,15}}?)\\]')) as n_tag, count(*) filter (regexp_matches(output, '^\\s*\\p{{Ll}}')) as n_lower_start from rows""")
 def audit_counters(spark, d):
-    return Q.audit_counters(_rows(spark, d)).select("n_rows", "n_short", "n_intro", "n_multi_part", "n_duplicates")
+    return Q.audit_counters(_rows(spark, d))
 
 
 @query("""select conv_id, count(*) as n from conversations where turn <> 3 group by 1 order by 2 desc, 1 limit 10""")
 def series_top10(spark, d):
+    """Turn 3 of each conversation is made to repeat itself as its title and is dropped by the echo rule
+    before series are counted; here by its number."""
     r = _rows(spark, d).where("part <> 3")
     return r.groupBy(F.split_part(X.base_title("instruction"), F.lit(" "), F.lit(2)).cast("long").alias("conv_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "conv_id").limit(10)
 
@@ -137,24 +146,72 @@ def series_top10(spark, d):
 _BODY = "b as (select conv_id, string_agg(text, '' order by turn) as body, count(*) as parts from conversations group by 1)"
 
 
+_STYLE = "case when length(body) < 80 then 'other' when {cap} < 0.05 and {punct} < 0.02 then 'transcript' when {cap} >= 0.05 and {punct} >= 0.02 then case when contains(body, chr(10)) or length(body) > 600 then 'blog' else 'tweet' end else 'other' end".format(cap=cap("body"), punct=punct("body"))
+
+
+@query(f"with {_BODY} select {_STYLE} as class, count(*) as n, cast(sum(length(body)) as bigint) as total_chars, cast(max(length(body)) as bigint) as max_chars, round(avg(length(body)), 4) as avg_chars from b group by 1")
+def class_stats(spark, d):
+    """Per class of the stitched bodies: how many, and their lengths."""
+    b = Q.stitch(read(spark, d, "conversations"), "conv_id", "turn", "text").withColumn("n", F.length("body"))
+    return b.groupBy(Q.body_class("body").alias("class")).agg(F.count("*").alias("n"), F.sum("n").alias("total_chars"), F.max("n").cast("long").alias("max_chars"), F.round(F.avg("n"), 4).alias("avg_chars"))
+
+
 @query(f"with {_BODY} select cast(least(parts, 4) as bigint) as class, count(*) as n, cast(sum(length(body)) as bigint) as total_chars, max(length(body)) as max_chars, round(avg(length(body)), 4) as avg_chars, cast(ceil(sum(length(body)) / 2500) as bigint) as windows, cast(ceil(sum(length(body)) / 2500) * 8 as bigint) as secs from b group by 1")
 def repunct_workload(spark, d):
-    b = Q.stitch(read(spark, d, "conversations"), "conv_id", "turn", "text").withColumn("n", F.length("body"))
+    # lengths of joined texts are sums, so no text is gathered
+    b = read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("parts"))
     w = F.ceil(F.sum("n") / 2500)
     return b.groupBy(F.least("parts", F.lit(4)).cast("long").alias("class")).agg(F.count("*").alias("n"), F.sum("n").alias("total_chars"), F.max("n").cast("long").alias("max_chars"), F.round(F.avg("n"), 4).alias("avg_chars"), w.cast("long").alias("windows"), (w * 8).cast("long").alias("secs"))
 
 
 @query(f"with {_BODY} select conv_id, length(body) as chars from b order by 2 desc, 1 limit 5")
 def class_length_stats(spark, d):
-    b = Q.stitch(read(spark, d, "conversations"), "conv_id", "turn", "text")
-    return b.select("conv_id", F.length("body").cast("long").alias("chars")).orderBy(F.desc("chars"), "conv_id").limit(5)
+    b = read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
+    return b.select("conv_id", "chars").orderBy(F.desc("chars"), "conv_id").limit(5)
 
 
-@query()
+_TAGS = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(output, '{C.STAGE_TAGS}', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_CLEANED = f"""tagged as (select doc_id, instruction, {_TAGS} as tagged from rows), plain as (select doc_id, instruction, {footer("tagged")} as plain from tagged),
+judged as (select doc_id, instruction, plain, {truncated("plain")} as cleaned, ({has_any("instruction", C.JUNK)} or {has_any("plain", C.JUNK)} or contains(instruction, chr(65533)) or contains(plain, chr(65533)) or length(trim(plain)) < 80) as junk from plain),
+cleaned as (select *, case when junk then 'junk' when row_number() over (partition by junk, trim(cleaned) order by doc_id, instruction) > 1 then 'duplicate' else 'keep' end as reason from judged)"""
+
+
+@query(f"with {_ROWS}, {_CLEANED} select doc_id, reason, cleaned from cleaned")
 def clean_v1(spark, d):
     return Q.clean_rows(_rows(spark, d)).select("doc_id", "reason", "cleaned")
 
 
+@query(f"with {_ROWS}, {_CLEANED} select count(*) as rows_in, count(*) filter (reason = 'keep') as rows_out, count(*) filter (reason = 'junk') as dropped_junk, count(*) filter (reason = 'duplicate') as dropped_duplicates, count(*) filter (reason = 'keep' and cleaned <> plain) as truncated_outputs from cleaned")
+def cleaning_stats(spark, d):
+    return Q.cleaning_stats(Q.clean_rows(_rows(spark, d)))
+
+
+@query()
+def prepare_rows(spark, d):
+    """Split first, then cleaned."""
+    return Q.prepare(_rows(spark, d), 400).select("doc_id", "instruction", "cleaned")
+
+
+@query()
+def expansion_stats(spark, d):
+    r = _rows(spark, d)
+    return chunk.expansion_stats(r, chunk.expand_rows(r, 400))
+
+
+@query()
+def repunctuated_bodies(spark, d):
+    """A stand-in that gives the text back, but for windows that begin with a vowel, from which it drops
+    words: those stay as they were."""
+    b = Q.stitch(read(spark, d, "conversations"), "conv_id", "turn", "text")
+    return b.select("conv_id", Q.repunctuated("body", _Dropping(), 500).alias("x")).select("conv_id", "x.*")
+
+
+class _Dropping:
+    def generate(self, prompt: str) -> str:
+        text = prompt.split("<<<\n", 1)[1].rsplit("\n>>>", 1)[0]
+        return "Here's the corrected text: " + ("gone" if text[:1].lower() in "aeiou" else text.upper())
+
+
 @query()
 def clean_v2(spark, d):
     r = _rows(spark, d).withColumn("title", F.concat(F.lit("Talk "), "conv_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +33,30 @@ def tolerant_json_lines(spark: SparkSession, path: str, schema: str, comments: b
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
 
-def json_array(spark: SparkSession, path: str, schema: str = RAW_ITEM) -> DataFrame | None:
-    """A file with one JSON array; None if it is missing, empty or has no rows."""
+def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A file with one JSON array, its columns those found in it, or ``schema``. None, with a warning, if it
+    is missing, empty, has no rows or is no JSON; rows that do not fit are left out with a warning."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        warnings.warn(f"{path} is missing", stacklevel=2)
+        return None
+    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    df = (reader.schema(schema + ", _bad string") if schema else reader).json(path).cache()
+    if "_bad" in df.columns:
+        bad = df.where("_bad is not null").count()
+        if bad:
+            warnings.warn(f"{path}: {bad} rows that do not fit are left out", stacklevel=2)
+        df = df.where("_bad is null").drop("_bad")
+    if not df.columns or df.isEmpty():
+        warnings.warn(f"{path} has no rows", stacklevel=2)
         return None
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return None if df.isEmpty() else df
+    return df
+
+
+def ordered_urls(pages: DataFrame, url: str, order: str, most: int | None = None) -> DataFrame:
+    """Urls without fragments, each once, in the order in which they came first; the first ``most``."""
+    out = pages.select(F.split_part(url, F.lit("#"), F.lit(1)).alias("url"), order).where("url <> ''").groupBy("url").agg(F.min(order).alias(order)).orderBy(order, "url")
+    return out.limit(most) if most else out
 
 
 def eval_set(spark: SparkSession, path: str) -> DataFrame:
