@@ -15,7 +15,7 @@ all work is linear in the lines and runs in generated code.
 2. Fingerprints found in two places or more, and the documents they are in, go into Bloom filters
    (within ``max_bits``; beyond, all documents and windows go on, with the same result).
 3. Extension both ways: in those documents, forward windows whose fingerprint is repeated, and
-   backward windows that begin with such a one, are keyed by a digest of all their lines (128 bits).
+   backward windows that begin with such a one, are keyed by a digest of all their lines and the fingerprint (64 bits each).
    Every line of a repeated run lies in a forward or a backward window inside that run, so the windows
    together reach exactly as far as the run does.
 4. The first place of each digest, by (id, text hash, line), is found by an aggregate; windows with
@@ -43,34 +43,61 @@ BOUNDARY = r"(?<=\n)|(?<=[.!?] )"
 #: Words of the shingles of lines that fingerprints are made of.
 SHINGLE = 5
 
+_MARK = "\x01"
 _DOC = ("_ld_id", "_ld_h")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = text_or_empty(text_col)
-    return docs.select("*", F.col(id_col).alias("_ld_id"), t.alias("_ld_t"), F.xxhash64(t).alias("_ld_h"))
+    return docs.select("*", F.col(id_col).alias("_ld_id"), t.alias("_ld_t"), _first(F.xxhash64(t)).alias("_ld_h"))
+
+
+def _pieces(t: str, boundary: str) -> Column:
+    """The text cut at the boundaries. For the usual ones plain replacements put a mark in, which is
+    several times faster than looking behind at each character; a text with the mark in it is cut by the
+    pattern."""
+    slow = F.split(t, boundary)
+    if boundary != BOUNDARY:
+        return slow
+    marked = F.col(t)
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    return F.when(F.contains(F.col(t), F.lit(_MARK)), slow).otherwise(F.split(marked, _MARK))
+
+
+def _lines(base: DataFrame, boundary: str, once: bool) -> DataFrame:
+    """(_ld_id, _ld_h, p, k, w, i, s, all): lines that are not blank, with their number among all, a hash
+    turned by their place, words, number among these, words before them, and the words of the document;
+    each document once (``once``: there are no others)."""
+    tabs = F.contains("_ld_t", F.lit("\t")) | F.contains("_ld_t", F.lit("\r")) if boundary == BOUNDARY else F.lit(True)
+    base = base.withColumn("odd", _first(tabs))
+    u = base.select(*_DOC, "odd", F.posexplode(_pieces("_ld_t", boundary)).alias("p", "x"))
+    # of the white space that counts only a line break at the end is in a line, but for odd texts
+    plain = F.when(F.endswith("x", F.lit("\n")), F.trim(F.left("x", F.length("x") - 1))).otherwise(F.trim("x"))
+    u = u.withColumn("y", F.when(F.col("odd"), F.expr("btrim(x, ' \\n\\r\\t')")).otherwise(plain)).where("y != ''")
+    u = u.select(*_DOC, "p", F.xxhash64("y").alias("k"), (F.octet_length("y") - F.octet_length(F.replace("y", F.lit(" "), F.lit(""))) + 1).alias("w"))
+    order = Window.partitionBy(*_DOC).orderBy("p")
+    if not once:
+        u = u.withColumn("before", F.lag("p").over(order)).where("before is null or before != p").drop("before")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumns({"i": F.row_number().over(order), "s": F.sum("w").over(upto) - F.col("w"), "all": F.sum("w").over(Window.partitionBy(*_DOC))})
+    return u.withColumn("k", _turned(F.col("k"), F.col("i")))
 
 
-def _lines(base: DataFrame, boundary: str) -> DataFrame:
-    """(_ld_id, _ld_h, p, k, k2, w, i, s): lines that are not blank, with their number among all, two
-    hashes, words, number among these, and words before them; each document once."""
-    u = base.select(*_DOC, F.posexplode(F.split("_ld_t", boundary)).alias("p", "x")).withColumn("y", F.expr("btrim(x, ' \\n\\r\\t')")).where("y != ''")
-    u = u.select(*_DOC, "p", F.xxhash64("y").alias("k"), F.xxhash64(F.lit(1), "y").alias("k2"), (F.length("y") - F.length(F.replace("y", F.lit(" "), F.lit(""))) + 1).alias("w"))
-    order = Window.partitionBy(*_DOC).orderBy("p")
-    u = u.withColumn("before", F.lag("p").over(order)).where("before is null or before != p").drop("before")
-    return u.withColumns({"i": F.row_number().over(order), "s": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")})
+def _first(c: Column) -> Column:
+    """A value by way of an array, as generated code would else make it again for every line of a text."""
+    return F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
 
 
-def _turned(k: str | Column, by: str | Column, left: bool = True) -> Column:
+def _turned(k: Column, by: Column, left: bool = True) -> Column:
     """``k`` with its bits turned."""
-    k, n = (F.col(c) if isinstance(c, str) else c for c in (k, by))
-    a, b = (n % 64, 64 - n % 64) if left else (64 - n % 64, n % 64)
+    a, b = (by % 64, 64 - by % 64) if left else (64 - by % 64, by % 64)
     return F.call_function("shiftleft", k, a).bitwiseOR(F.call_function("shiftrightunsigned", k, b))
 
 
 def _digest(k: str, frame, first: Column) -> Column:
-    """Of the lines of a frame, in order: each hash turned by its place, from the first one's place."""
-    return _turned(F.bit_xor(_turned(k, "i")).over(frame), first, left=False)
+    """Of the lines of a frame, in order: each hash turned by its place, all turned back by the first."""
+    return _turned(F.bit_xor(k).over(frame), first, left=False)
 
 
 def _ahead(words: int):
@@ -78,36 +105,47 @@ def _ahead(words: int):
     return Window.partitionBy(*_DOC).orderBy("s").rangeBetween(0, words - 1)
 
 
-def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """``lines`` with the words ``n`` of their window (fewer than ``min_words`` where the text ends), its
-    fingerprint ``m`` and where that is, ``at``."""
+def _shingled(min_words: int) -> tuple[Column, object]:
+    """The digest of the fewest lines from here on that have ``SHINGLE`` words, and the frame of those
+    that lie in a window whole."""
     shingle = min(SHINGLE, min_words)
-    lines = lines.withColumn("g", F.xxhash64(_digest("k", _ahead(shingle), F.col("i"))))
-    inside = _ahead(min_words - shingle + 1)
-    return lines.withColumns({"n": F.sum("w").over(_ahead(min_words)), "m": F.min("g").over(inside), "at": F.min_by("s", "g").over(inside)})
+    return F.xxhash64(_digest("k", _ahead(shingle), F.col("i"))), _ahead(min_words - shingle + 1)
+
+
+def _marks(lines: DataFrame, min_words: int) -> DataFrame:
+    """(m, _ld_id, _ld_h): the fingerprints of all windows, each place once."""
+    g, inside = _shingled(min_words)
+    marks = lines.withColumn("g", g).withColumns({"m": F.min("g").over(inside), "at": F.min_by("s", "g").over(inside)}).where(F.col("s") + min_words <= F.col("all"))
+    # the place of the least digest never moves back, so equal ones are neighbours
+    marks = marks.withColumn("before", F.lag("at").over(Window.partitionBy(*_DOC).orderBy("s"))).where("before is null or before != at")
+    return marks.select("m", *_DOC)
 
 
 def _windows(lines: DataFrame, min_words: int, repeated) -> DataFrame:
-    """(_ld_id, _ld_h, d, d2, s, e): digests, first and last line number of the windows in question."""
-    w = _fingerprints(lines, min_words).withColumn("r", (F.col("n") >= min_words) & repeated(F.col("m")))
+    """(_ld_id, _ld_h, d, m, s, e): digest, fingerprint, first and last line number of the windows in
+    question. The fingerprint of a backward window is that of the forward one that begins with it."""
+    g, inside = _shingled(min_words)
     ahead = _ahead(min_words)
-    w = w.withColumns({"d": _digest("k", ahead, F.col("i")), "d2": _digest("k2", ahead, F.col("i")), "e": F.max("p").over(ahead), "f": F.col("s") + F.col("w")})
+    w = lines.withColumns({"g": g, "d": _digest("k", ahead, F.col("i")), "e": F.max("p").over(ahead), "f": F.col("s") + F.col("w")})
+    w = w.withColumn("m", F.min("g").over(inside)).withColumn("r", (F.col("s") + min_words <= F.col("all")) & repeated(F.col("m")))
     back = Window.partitionBy(*_DOC).orderBy("f").rangeBetween(1 - min_words, 0)
-    first = F.min("i").over(back)
-    w = w.withColumns({"bd": _digest("k", back, first), "bd2": _digest("k2", back, first), "bs": F.min("p").over(back), "br": F.first("r").over(back) & (F.sum("w").over(back) >= min_words)})
-    span = lambda d, d2, s, e: F.struct(F.col(d).alias("d"), F.col(d2).alias("d2"), F.col(s).alias("s"), F.col(e).alias("e"))
-    both = F.array_compact(F.array(F.when(F.col("r"), span("d", "d2", "p", "e")), F.when(F.col("br"), span("bd", "bd2", "bs", "p"))))
-    return w.where("r or br").select(*_DOC, F.explode(both).alias("x")).select(*_DOC, "x.*")
+    # the first line of a backward window has the least number: both numbers and ``r`` in one value
+    w = w.withColumn("q", F.col("i") * F.lit(1 << 33) + F.col("p") * F.lit(2) + F.col("r").cast("int"))
+    w = w.withColumns({"q": F.min("q").over(back), "be": F.min("e").over(back), "bd": F.bit_xor("k").over(back), "bm": F.first("m").over(back)})
+    i, p, first = F.shiftright("q", 33).cast("int"), F.col("p"), (F.shiftright("q", 1) % F.lit(1 << 32)).cast("int")
+    span = lambda d, m, s, e: F.struct(d.alias("d"), m.alias("m"), s.alias("s"), e.alias("e"))
+    # a backward window that is a forward one too is there already
+    w = w.withColumn("ends", (F.col("q") % 2 == 1) & (F.col("f") >= min_words) & (F.col("be") != p)).where("r or ends")
+    both = F.array_compact(F.array(F.when(F.col("r"), span(F.col("d"), F.col("m"), p, F.col("e"))), F.when(F.col("ends"), span(_turned(F.col("bd"), i, False), F.col("bm"), first, p))))
+    return w.select(*_DOC, F.explode(both).alias("x")).select(*_DOC, "x.*")
 
 
 def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, boundary: str = BOUNDARY, max_bits: int = 1 << 28) -> DataFrame:
     """(_ld_id, _ld_h, runs): of each document that has any, the runs to delete, as first and last
     line number, disjoint and in order."""
     base = _prepared(docs, id_col, text_col).select(*_DOC, "_ld_t")
-    marks = _fingerprints(_lines(base, boundary), min_words).where(F.col("n") >= min_words)
-    # the place of the least digest never moves back, so equal ones are neighbours
-    marks = marks.withColumn("before", F.lag("at").over(Window.partitionBy(*_DOC).orderBy("s"))).where("before is null or before != at")
-    marks = materialize(marks.select("m", *_DOC), "marks")
+    once = base.groupBy("_ld_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    marks = materialize(_marks(_lines(base, boundary, once), min_words), "marks")
     repeated = materialize(marks.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select(F.col("m").alias("key")), "repeated")
     words, maybe = bloom_filter_parts(repeated, max_bits)
     hit = (lambda m: maybe(m, words)) if maybe else (lambda m: F.lit(True))
@@ -115,10 +153,10 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = materialize(marks.where(hit(F.col("m"))).select(F.xxhash64(*_DOC).alias("key")).distinct(), "found")
         some, may = bloom_filter_parts(found, max_bits)
         base = base.where(may(F.xxhash64(*_DOC), some)) if may else base
-    places = materialize(_windows(_lines(base, boundary), min_words, hit), "places")
+    places = materialize(_windows(_lines(base, boundary, once), min_words, hit), "places")
     place = F.struct("_ld_id", "_ld_h", "s")
-    firsts = places.groupBy("d", "d2").agg(F.min(place).alias("top"), F.max(place).alias("end")).where("top != end").select("d", "d2", "top")
-    later = places.join(firsts, ["d", "d2"]).where(~(F.col("_ld_id").eqNullSafe(F.col("top._ld_id")) & (F.col("_ld_h") == F.col("top._ld_h")) & (F.col("s") == F.col("top.s"))))
+    firsts = places.groupBy("d", "m").agg(F.min(place).alias("top"), F.max(place).alias("end")).where("top != end").select("d", "m", "top")
+    later = places.join(firsts, ["d", "m"]).where(~(F.col("_ld_id").eqNullSafe(F.col("top._ld_id")) & (F.col("_ld_h") == F.col("top._ld_h")) & (F.col("s") == F.col("top.s"))))
     order = Window.partitionBy(*_DOC).orderBy("s", "e")
     upto = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = later.select(*_DOC, "s", "e").distinct().withColumn("new", F.coalesce((F.col("s") > upto + 1).cast("int"), F.lit(1)))
@@ -146,7 +184,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = None
     to = runs.select(F.col("_ld_id").alias("_ld_i2"), F.col("_ld_h").alias("_ld_h2"), F.col("runs").alias("_ld_runs"))
     base = base.join(to.hint("shuffle_hash"), F.col("_ld_id").eqNullSafe(F.col("_ld_i2")) & (F.col("_ld_h") == F.col("_ld_h2")), "left").drop("_ld_i2", "_ld_h2")
-    out = (base.unionByName(rest) if rest is not None else base).withColumn("_ld_u", F.split("_ld_t", boundary))
+    out = (base.unionByName(rest) if rest is not None else base).withColumn("_ld_u", _pieces("_ld_t", boundary))
     text = F.when(F.col("_ld_runs").isNull(), F.col("_ld_t")).otherwise(F.expr(_LEFT))
     gone = F.coalesce(F.aggregate("_ld_runs", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0))
     n = F.size("_ld_u") - F.when(F.element_at("_ld_u", -1) == "", 1).otherwise(0)
