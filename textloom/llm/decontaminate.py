@@ -50,7 +50,9 @@ from textloom.llm.common import materialize, table, text_or_empty
 
 WORDS, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 K1, B = 1.2, 0.75
-BLOCK, PART_WORDS = 4, 4_000_000
+BLOCK, PART_WORDS = 2, 4_000_000
+#: Passages and blocks whose bounds are summed at once.
+BINS = 1 << 18
 _word = re.compile(r"\w+")
 
 
@@ -183,18 +185,26 @@ class Index:
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, dict[int, float]]]:
         """(number, units retrieved) of the passages of a document's term codes."""
-        at = np.flatnonzero(self.needed[codes])
-        if not len(at):
+        if not self.needed[codes].any():
             return
-        for p in np.unique(np.concatenate([at // self.step, np.maximum(at // self.step - 1, 0)])).tolist():
-            own = np.unique(codes[p * self.step : (p + 2) * self.step])
-            own = own[own < len(self.term)]
-            first, n = self.top_at[own], self.top_at[own + 1] - self.top_at[own]
-            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            bound = np.bincount(self.top_block[place], self.top[place], self.blocks)
-            blocks = bound >= 1 - 1e-6
-            if blocks.any() and (got := self.retrieve(own.tolist(), blocks)):
-                yield p, got
+        terms, at = len(self.term), np.flatnonzero(codes < len(self.term))
+        several = max(1, BINS // max(1, self.blocks))
+        for p in range(0, -(-len(codes) // self.step), several):
+            # terms of the passages from p on, each once in a passage
+            lo, hi = np.searchsorted(at, (p * self.step, (p + several + 1) * self.step))
+            place, code = at[lo:hi] // self.step - p, codes[at[lo:hi]]
+            key = np.concatenate([place * terms + code, (place - 1) * terms + code])
+            key = np.unique(key[(key >= 0) & (key < several * terms)])
+            own, code = key // terms, key % terms
+            n = self.top_at[code + 1] - self.top_at[code]
+            entry = np.repeat(self.top_at[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            bound = np.bincount(np.repeat(own, n) * self.blocks + self.top_block[entry], self.top[entry])
+            high = np.flatnonzero(bound >= 1 - 1e-6)
+            for k in np.unique(high // self.blocks).tolist():
+                blocks = np.zeros(self.blocks, bool)
+                blocks[high[high // self.blocks == k] % self.blocks] = True
+                if got := self.retrieve(code[own == k].tolist(), blocks):
+                    yield p + k, got
 
     def share(self, unit: np.ndarray, codes: np.ndarray) -> tuple[float, int]:
         """A unit's overlap, and the start of the first passage that has it."""
