@@ -13,9 +13,8 @@ Size: a filter has at most ``max_bits`` bits (16 MB). A list that needs more fal
 semi join on the keys, which gives the same result.
 
 Defined results: a null url or one without ``://`` has an empty host and path, and is allowed;
-repeated rows are judged each; an empty list allows everything; extra columns are ignored or kept
-at the caller's choice, and none is overwritten but ``host``, ``path``, ``rule``, ``verdict``,
-which are the operator's own.
+repeated rows are judged each; an empty list allows everything; other columns are kept, whatever they
+are called, but for ``host``, ``path``, ``rule``, ``verdict``, which are the operator's own.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table
+from textloom.llm.common import materialize, packed, quoted, table, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -166,7 +165,8 @@ def judge_urls(urls: DataFrame, url_col: str, listed: DataFrame, rules: Sequence
     The longest rule that fits decides; else the block list: a url whose host or a parent domain is
     listed is blocked, any other allowed.
     """
-    df = urls.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
+    url = F.col(quoted(url_col))
+    df = urls.select(packed(urls), url_host(url).alias("host"), url_path(url).alias("path"))
     universe = df.select("host").distinct().select(F.explode(host_keys(F.col("host"))).alias("key"))
     c = build_cascade(listed, universe, **cascade)
     if c.listed is not None:
@@ -180,7 +180,8 @@ def judge_urls(urls: DataFrame, url_col: str, listed: DataFrame, rules: Sequence
     for r in sorted(rules, key=lambda r: len(r.text)):
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
         rule, action = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.action)).otherwise(action)
-    return df.withColumn("rule", rule).withColumn("verdict", action).drop("_hit", *c.words())
+    own = ("host", "path", "rule", "verdict")
+    return df.withColumn("rule", rule).withColumn("verdict", action).select(*unpacked([x for x in urls.columns if x not in own]), *own)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
