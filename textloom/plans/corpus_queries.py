@@ -237,7 +237,20 @@ def persona_meta_counts(spark, d):
     return read(spark, d, "documents").agg(F.count("*").alias("num_documents"), F.sum(P.sentence_count("text")).cast("long").alias("num_sentences"), F.sum(F.size(P.content_words("text"))).cast("long").alias("num_content_words"))
 
 
-@query()
+def _ranked(sql: str) -> str:
+    return f"(select list(term order by n desc, term) from ({sql}))"
+
+
+_STARTERS = rf"""with s as (select unnest(string_split_regex(coalesce(text, ''), '[.!?]\s+|\n+')) as s from documents), w as (select {words("lower(s)")} as w from s)
+select w[1] || ' ' || w[2] as term, count(*) as n from w where len(w) >= 2 group by 1 order by 2 desc, 1 limit 20"""
+_PAIRS = f"""with w as (select {_LETTERS} as w from documents) select term, count(*) as n from
+(select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from w) group by 1 order by 2 desc, 1 limit 20"""
+_FRAMES = f"""select term, cast(sum((length(t) - length(replace(t, term, ''))) / length(term)) as bigint) as n from (select lower(coalesce(text, '')) as t from documents), (select unnest([{quoted(C.FRAMING)}]) as term) group by 1 having n > 0 order by 2 desc, 1 limit 15"""
+
+
+@query(f"""with x as (select (select count(*) from documents) as d, (select cast(sum({_SENTENCES}) as bigint) from documents) as s, (select cast(sum(len({_LETTERS})) as bigint) from documents) as c,
+coalesce({_ranked(_top(_LETTERS, 50))}, []) as w, coalesce({_ranked(_PAIRS)}, []) as b, coalesce({_ranked(_STARTERS)}, []) as f, coalesce({_ranked(_FRAMES)}, []) as g)
+select to_json({{'num_documents': d, 'num_sentences': s, 'num_content_words': c, 'top_words': w, 'top_bigrams': b, 'starters': f, 'framing': g, 'themes': list_concat(w[1:20], b)}})::varchar as profile from x""")
 def persona_profile_json(spark, d):
     return P.profile(read(spark, d, "documents")).select(F.to_json(F.struct("*")).alias("profile"))
 

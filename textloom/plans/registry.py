@@ -78,6 +78,21 @@ def footer(x: str) -> str:
     return f"(select case when length(z) < 120 then w else {rstrip(f'left(z, coalesce({cut}, length(z))::bigint)')} end from (select w, {strip('w')} as z from (select {x} as w)))"
 
 
+def packed(units: str, most: int, joiner: str) -> str:
+    """A list of texts joined greedily up to a size."""
+    n = 2 if "chr" in joiner else 1
+    return f"list_reduce(list_transform({units}, lambda v: [v]), lambda a, b: case when length(a[-1]) + {n} + length(b[1]) <= {most} then list_concat(a[:-2], [a[-1] || {joiner} || b[1]]) else list_concat(a, b) end)"
+
+
+def by_sentences(body: str, most: int) -> str:
+    """A stripped text's paragraphs, where too long their sentences, where too long their words, packed."""
+    said = rf"""list_filter(list_transform(string_split(regexp_replace(p, '([.!?])\s+(["''“‘(\[]?[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {strip("x")}), lambda x: x <> '')"""
+    units = f"flatten(list_transform({said}, lambda s: case when length(s) <= {most} then [s] else {packed(words('s'), most, chr(39) + ' ' + chr(39))} end))"
+    one = f"case when length(p) <= {most} then [p] else {packed(units, most, chr(39) + ' ' + chr(39))} end"
+    paragraphs = rf"list_filter(list_transform(string_split_regex({body}, '\n{{2,}}'), lambda x: {strip('x')}), lambda x: x <> '')"
+    return f"case when length({body}) <= {most} then (case when {body} = '' then [] else [{body}] end) else {packed(f'flatten(list_transform({paragraphs}, lambda p: {one}))', most, 'chr(10) || chr(10)')} end"
+
+
 def truncated(x: str, most: int = C.TRUNCATE_CHARS) -> str:
     """Cut with a note, at a paragraph break in the last fifth if there is one."""
     h = f"left({x}, {most})"

@@ -10,7 +10,7 @@ from textloom.operators import analytics as A
 from textloom.operators import chunk
 from textloom.operators import quality as Q
 from textloom.plans import config as C
-from textloom.plans.registry import cap, count, footer, has_any, punct, query, read, truncated, words
+from textloom.plans.registry import by_sentences, cap, count, footer, has_any, punct, query, read, strip, truncated, words
 
 
 def _windows(size: int, step: int, whole: bool) -> str:
@@ -57,12 +57,29 @@ def chunk_explode_nonblank(spark, d):
     return c.select(chunk.chunk_id("source", "doc_id").alias("id"), F.col("word_count").cast("long").alias("word_count"))
 
 
-@query()
+_LONG = f"""long as (select doc_id, source, {strip("text")} as body from documents where {count("coalesce(text, '')")} >= {C.MIN_WORDS} and length({strip("text")}) >= {C.MIN_CHARS} and not contains(text, chr(65533)))"""
+
+
+def _labelled(topic: str) -> str:
+    """Training rows of (doc_id, p: the list of a document's pieces, in table ``pieces``)."""
+    return f"""select doc_id, i::int as part, len(p)::int as parts, '{C.instruction()}' || {topic} || case when len(p) = 1 then '' else ' (part ' || i || ' of ' || len(p) || ')' end as instruction, '' as input, p[i] as output
+from (select *, unnest(range(1, len(p) + 1)) as i from pieces)"""
+
+
+_HEAD = f"left(rest, {C.SFT_CHARS})"
+
+
+@query(f"""with recursive {_LONG}, cut as (select doc_id, 0 as i, body as rest, cast(null as varchar) as piece from long
+union all select doc_id, i + 1, regexp_replace(substr(rest, z + 1), '^\\s+', ''), regexp_replace(left(rest, z), '\\s+$', '') from (
+  select *, case when length(rest) <= {C.SFT_CHARS} then length(rest) when contains({_HEAD}, chr(10) || chr(10)) and length({_HEAD}) - instr(reverse({_HEAD}), chr(10) || chr(10)) - 1 >= {C.SFT_CHARS // 5}
+  then length({_HEAD}) - instr(reverse({_HEAD}), chr(10) || chr(10)) - 1 else {C.SFT_CHARS} end as z from cut where rest <> '')),
+pieces as (select doc_id, list_reduce(list([piece] order by i), lambda a, b: case when length(b[1]) < {C.MIN_CHARS} and length(a[-1]) + 2 + length(b[1]) <= {C.SFT_CHARS} then list_concat(a[:-2], [a[-1] || chr(10) || chr(10) || b[1]]) else list_concat(a, b) end) as p from cut where piece <> '' group by doc_id)
+{_labelled(f"'{C.DEFAULT_TOPIC}'")}""")
 def sft_lines(spark, d):
     return chunk.training_rows(read(spark, d, "documents"), F.lit(None).cast("string"), "source", "text")
 
 
-@query()
+@query(f"with {_LONG}, pieces as (select doc_id, {by_sentences('body', 600)} as p from long) {_labelled("'Topic ' || doc_id")}")
 def sentence_chunks(spark, d):
     return chunk.training_rows(read(spark, d, "documents"), F.concat(F.lit("Topic "), "doc_id"), "source", "text", 600, sentence_aware=True)
 
@@ -88,7 +105,13 @@ _ROWS = f"""rows as (select conv_id * 1000 + turn as doc_id, conv_id, turn as pa
 else '{C.instruction()}Talk ' || conv_id || ' (part ' || (turn + 1) || ' of ' || count(*) over (partition by conv_id) || ')' end as instruction, text as output from conversations)"""
 
 
-@query()
+_EXPANDED = f"""split as (select doc_id, instruction, output, {by_sentences(strip("output"), 400)} as p from rows),
+topics as (select *, coalesce(nullif(trim(regexp_replace(trim(regexp_replace(instruction, '(?i)^Write in the style of {C.AUTHOR} about:\\s*', '')), '(?i)\\s*\\(part\\s+(\\d+)\\s+of\\s+(\\d+)\\)\\s*$', '')), ''), nullif(trim(instruction), ''), 'this topic') as topic from split),
+expanded as (select doc_id, case when len(p) > 1 then '{C.instruction()}' || topic || ' (part ' || i || ' of ' || len(p) || ')' else instruction end as instruction, '' as input, case when len(p) > 1 then p[i] else output end as output, len(p)::int as parts
+from (select *, unnest(range(1, greatest(len(p), 1) + 1)) as i from topics))"""
+
+
+@query(f"with {_ROWS}, {_EXPANDED} select * from expanded")
 def sft_expand(spark, d):
     return chunk.expand_rows(_rows(spark, d), 400)
 
@@ -186,13 +209,13 @@ def cleaning_stats(spark, d):
     return Q.cleaning_stats(Q.clean_rows(_rows(spark, d)))
 
 
-@query()
+@query(f"with {_ROWS}, {_EXPANDED}, {_CLEANED.replace('from rows)', 'from expanded)')} select doc_id, instruction, cleaned from cleaned where reason = 'keep'")
 def prepare_rows(spark, d):
     """Split first, then cleaned."""
     return Q.prepare(_rows(spark, d), 400).select("doc_id", "instruction", "cleaned")
 
 
-@query()
+@query(f"with {_ROWS}, {_EXPANDED} select (select count(*) from rows) as rows_in, count(*) as rows_out, (select count(*) from split where len(p) > 1) as split_from_long from expanded")
 def expansion_stats(spark, d):
     r = _rows(spark, d)
     return chunk.expansion_stats(r, chunk.expand_rows(r, 400))
@@ -212,7 +235,18 @@ class _Dropping:
         return "Here's the corrected text: " + ("gone" if text[:1].lower() in "aeiou" else text.upper())
 
 
-@query()
+_IS_ECHO = f"""(instruction like '%...' and length(regexp_replace(substr(instruction, {len(C.instruction()) + 1}), '[. …]+$', '')) >= 40
+and starts_with(lower(left(trim(output), 80)), left(lower(left(trim(regexp_replace(substr(instruction, {len(C.instruction()) + 1}), '[. …]+$', '')), 60)), length(trim(output)))))"""
+_GUEST = "regexp_matches(lower(left(body, 300)), '" + C.GUEST.replace("'", "''") + "')"
+_FOREIGN = r"len(regexp_extract_all(body, '[\x{0400}-\x{04FF}\x{3000}-\x{9FFF}\x{AC00}-\x{D7AF}]')) / greatest(length(body), 1) <= 0.01"
+
+
+@query(f"""with {_ROWS}, whole as (select conv_id, string_agg(output, '' order by part) as body from rows where not {_IS_ECHO} group by conv_id),
+own as (select * from whole where not {_GUEST} and not {has_any('left(body, 400)', C.INTRO_PHRASES)} and {_FOREIGN}),
+plain as (select conv_id, trim(regexp_replace(regexp_replace(regexp_replace({footer(f"regexp_replace(body, '{C.URLS}', '', 'g')")}, '{C.FILLERS}', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) as body from own),
+styled as (select 'Talk ' || conv_id as title, body, {_STYLE} as style from plain where length(body) >= {C.MIN_CHARS}),
+cut as (select title, style, list_filter({by_sentences(strip('body'), C.SFT_CHARS)}, lambda x: length(x) >= {C.MIN_CHARS}) as p from styled)
+select title, style, i::int as part, len(p)::int as parts, '{C.instruction()}' || title || case when len(p) = 1 then '' else ' (part ' || i || ' of ' || len(p) || ')' end as instruction, p[i] as output from (select *, unnest(range(1, len(p) + 1)) as i from cut)""")
 def clean_v2(spark, d):
     r = _rows(spark, d).withColumn("title", F.concat(F.lit("Talk "), "conv_id"))
     return Q.clean_bodies(r.select("title", "part", "instruction", "output"))
