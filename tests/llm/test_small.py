@@ -51,11 +51,26 @@ def test_url_filter(spark):
     empty = df.limit(0)
     assert url_filter.judge_urls(empty, "url", listed).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(df, "url", listed.limit(0), rules=()).collect()} == {"allow"}
+    clash = df.select("page_id", "url", *(F.lit(k).alias(n) for k, n in enumerate(("_hit", "_level0", "row", "key", "host", "verdict"))))
+    out = url_filter.judge_urls(clash, "url", listed)
+    assert out.columns == ["page_id", "url", "_hit", "_level0", "row", "key", "host", "path", "rule", "verdict"] and out.where("_level0 = 1 and row = 2").count() == len(urls)
     # a list that is too large for filters gives the same result by a join
     again = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, "url", listed, max_bits=1).orderBy("page_id").collect()]
     assert again == got
 
 
+def test_registered_query_and_sql(spark, tmp_path):
+    """``OP1_SQL`` in DuckDB."""
+    rng = random.Random(8)
+    hosts = [*url_filter.LISTED, "example.net", "m.example.net", "example.com", "a.org", "x.net", "net", "notexample.com", "EXAMPLE.Com", "", "spam-farm.example.com.x"]
+    urls = [rng.choice(["http://", "HTTPS://", "://", ""]) + rng.choice(["", "www.", "a.b."]) + rng.choice(hosts) + rng.choice(["", "/", "/en/a", "/de/", "/fr/x", "/EN/"]) + rng.choice(["", "?q=1/", "#t", "/x?y"]) for _ in range(600)] + [None, "", "://", "http://a://b.net/"]
+    spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id int, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in url_filter.op1_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", F.coalesce("rule", F.lit("-")), "verdict").collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(duck.execute(f"select page_id, host, path, coalesce(rule, '-'), verdict from ({url_filter.OP1_SQL})").fetchall())
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("key"))
     listed = universe.where("pmod(hash(key), 7) = 0")
@@ -102,6 +117,20 @@ def test_near_dedup_against_all_pairs(spark, odd):
     assert got == expected
 
 
+def test_hot_centre_is_split(spark, monkeypatch):
+    """One text with far more near copies than go to one task."""
+    monkeypatch.setattr(near_dedup, "SHARE", 7)
+    rng, base = random.Random(41), prose(random.Random(40), 120).split()
+    texts = [(0, " ".join(base))]
+    for k in range(1, 90):
+        new = list(base)
+        new[rng.randrange(120)] = f"changed{k}"
+        texts.append((k, " ".join(new)))
+    texts += [(500 + k, prose(rng, 100)) for k in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: 0 if i < 500 else i for i, _ in texts}
+
+
 def test_near_dedup_of_uneven_repeats(spark):
     """Texts that differ in how often a passage repeats have nearly the same shingle set."""
     rng, texts = random.Random(29), []
@@ -133,6 +162,9 @@ def test_near_dedup_keeps_one(spark, odd):
     assert out.columns == df.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([1, 4, 5, 8, 9, 10, None], key=str)
     assert near_dedup.keep_one(df.limit(0)).count() == 0
+    clash = df.select("doc_id", "text", *(F.lit(k).alias(n) for k, n in enumerate(("_i", "_h", "_n", "_stays", "_hash", "_maybe", "_words", "i", "h", "id", "row", "k", "stays", "n"))))
+    kept = near_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == 7 and kept.where("_words = 6 and n = 13").count() == 7
     assert near_dedup.near_duplicates(df.where("doc_id < 4")).select("class_id").distinct().count() == 1
 
 
@@ -289,22 +321,9 @@ def test_plan_uses_every_piece_once():
     assert packing.make_plan(np.zeros(129, dtype=np.int64), 128).n_sequences == 0
 
 
-ITEMS = [(1, "What is the capital of the fair land of Oz now. It is the Emerald City by the green river."), (2, "one two three four five six seven eight nine ten eleven twelve"), (3, None), (4, ""), (5, "tiny item")]
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "packing"] and corpus_pipeline.ORACLE_SQL is None
-    rng = random.Random(13)
-    good = [(k, prose(rng, 120)) for k in range(60)]
-    leak = (300, prose(rng, 60) + " " + ITEMS[0][1] + " " + prose(rng, 60))
-    near = (301, " ".join([*good[0][1].split()[:-2], "other", "end"]))
-    junk = [(400 + k, " ".join(w.upper() + "!!" for w in prose(rng, 80).split())) for k in range(30)]
-    rows = [(i, t, "en", "src0", len(t)) for i, t in [*good, leak, near, *junk]]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
-    labels = [(i, int(i < 400), 0) for i, *_ in rows]
-    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {i for i, _ in good}
+def test_plan_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(3)
+    for k in range(12):
+        hist = np.zeros(257, dtype=np.int64)
+        np.add.at(hist, np.minimum(256, rng.lognormal(rng.uniform(2, 5), rng.uniform(0.3, 1.5), 3000).astype(int) + 1), 1 + 30 * (k % 2))
+        assert packing.make_plan(hist, 256).n_sequences <= sum(n for _, n in packing.best_fit(hist, 256))

@@ -27,7 +27,7 @@ occurs, line by line, somewhere earlier: in an earlier document or earlier in it
 Defined results: null and empty texts have no lines and stay as they are (null becomes empty);
 repeated rows with the same id and text are one place and treated alike; a null id comes first;
 a document may become empty, but no row goes; an empty table gives an empty one; other columns are
-kept; columns whose names start with ``_ld_`` are reserved.
+kept, whatever they are called, but for ``n_lines`` and ``n_deleted``, which are the operator's own.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table, text_or_empty
+from textloom.llm.common import materialize, packed, quoted, table, text_or_empty
 from textloom.llm.url_filter import bloom_filter_parts
 
 MIN_WORDS = 25
@@ -48,8 +48,8 @@ _DOC = ("_ld_id", "_ld_h")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = text_or_empty(text_col)
-    return docs.select("*", F.col(id_col).alias("_ld_id"), t.alias("_ld_t"), _first(F.xxhash64(t)).alias("_ld_h"))
+    t = text_or_empty(F.col(quoted(text_col)))
+    return docs.select(packed(docs.drop(text_col)), F.col(quoted(id_col)).alias("_ld_id"), t.alias("_ld_t"), _first(F.xxhash64(t)).alias("_ld_h"))
 
 
 def _pieces(t: str, boundary: str) -> Column:
@@ -176,19 +176,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     base = _prepared(docs, id_col, text_col)
     words, maybe = bloom_filter_parts(runs.select(F.xxhash64(*_DOC).alias("key")), max_bits)
-    none = F.lit(None).cast("array<struct<s:int,e:int>>")
     if maybe:  # only texts that may lose something move
         base = base.withColumn("_ld_f", words).withColumn("_ld_m", maybe(F.xxhash64(*_DOC), F.col("_ld_f"))).drop("_ld_f")
-        rest, base = base.where("not _ld_m").withColumn("_ld_runs", none), base.where("_ld_m")
+        rest, base = base.where("not _ld_m"), base.where("_ld_m")
     else:
         rest = None
     to = runs.select(F.col("_ld_id").alias("_ld_i2"), F.col("_ld_h").alias("_ld_h2"), F.col("runs").alias("_ld_runs"))
     base = base.join(to.hint("shuffle_hash"), F.col("_ld_id").eqNullSafe(F.col("_ld_i2")) & (F.col("_ld_h") == F.col("_ld_h2")), "left").drop("_ld_i2", "_ld_h2")
-    out = (base.unionByName(rest) if rest is not None else base).withColumn("_ld_u", _pieces("_ld_t", boundary))
-    text = F.when(F.col("_ld_runs").isNull(), F.col("_ld_t")).otherwise(F.expr(_LEFT))
+    base = base.withColumn("_ld_u", _pieces("_ld_t", boundary))
     gone = F.coalesce(F.aggregate("_ld_runs", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0))
     n = F.size("_ld_u") - F.when(F.element_at("_ld_u", -1) == "", 1).otherwise(0)
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep), n.cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"))
+
+    def shaped(df: DataFrame, text: Column, n: Column, gone: Column) -> DataFrame:
+        return df.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in keep), n.cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"))
+
+    out = shaped(base, F.when(F.col("_ld_runs").isNull(), F.col("_ld_t")).otherwise(F.expr(_LEFT)), n, gone)
+    return out if rest is None else out.unionByName(shaped(rest, F.col("_ld_t"), _count("_ld_t", boundary), F.lit(0)))
+
+
+def _count(t: str, boundary: str) -> Column:
+    """How many pieces a text has that are not empty."""
+    if boundary != BOUNDARY:
+        u = F.split(t, boundary)
+        return F.size(u) - F.when(F.element_at(u, -1) == "", 1).otherwise(0)
+    ends, last = F.lit(0), F.lit(False)
+    for end in ("\n", ". ", "! ", "? "):
+        ends = ends + (F.octet_length(t) - F.octet_length(F.replace(F.col(t), F.lit(end), F.lit("")))) / len(end)
+        last = last | F.endswith(F.col(t), F.lit(end))
+    return ends + F.when(last | (F.col(t) == ""), 0).otherwise(1)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

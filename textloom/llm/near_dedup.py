@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table, text_or_empty
+from textloom.llm.common import free, materialize, packed, quoted, table, text_or_empty, unpacked
 from textloom.llm.url_filter import bloom_filter, bloom_filter_parts
 
 WORDS, SIMILARITY, ROWS, BANDS = 5, 0.8, 7, 27
 #: Characters of text that are hashed at once.
 BATCH = 1 << 20
+#: Pairs of one centre that go to one task.
+SHARE = 500
 
 _u = np.uint64
 _MIX1, _MIX2, _STEP = _u(0xBF58476D1CE4E5B9), _u(0x94D049BB133111EB), _u(0x9E3779B97F4A7C15)
@@ -202,8 +204,13 @@ def _judge(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
                 keep = [_jaccard(sets[i], s) >= similarity for i, s in zip(left.indices.to_pylist(), own)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = texts.select(F.col("digest").alias("a"), F.col("t").alias("ta")), texts.select(F.col("digest").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "ta", "b", "tb").mapInArrow(run, "a bigint, b bigint")
+    # a centre with very many pairs stands in several tasks, once in each
+    pairs = materialize(pairs, "pairs")
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select(F.col("a").alias("digest"), F.ceil(F.col("n") / SHARE).cast("int").alias("parts"))
+    own = texts.join(many, "digest", "left").select(F.col("digest").alias("a"), F.col("t").alias("ta"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    b = texts.select(F.col("digest").alias("b"), F.col("t").alias("tb"))
+    dealt = pairs.join(many.select(F.col("digest").alias("a"), "parts"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return dealt.join(b, "b").join(own.drop("parts"), ["a", "part"]).select("a", "ta", "b", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -219,21 +226,21 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str = "label", most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, name: str = "label") -> DataFrame:
     """(digest, ``name``): the least digest of the component. Each round every node takes the least
-    label among its neighbours' and then its label's own label; ends when nothing changes."""
+    label among its neighbours' and then its label's own label; ends when nothing changes, as labels
+    only fall. A round's table goes when the next one is there."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     label = materialize(both.select(F.col("a").alias("digest")).distinct().withColumn("l", F.col("digest")), "labels")
-    for _ in range(most):
+    moved, last = True, label
+    while moved:
         near = both.join(label, F.col("b") == F.col("digest")).groupBy("a").agg(F.min("l").alias("m"))
         new = label.join(near, label["digest"] == near["a"], "left").select("digest", "l", F.least("l", "m").alias("m"))
         up = label.select(F.col("digest").alias("m"), F.col("l").alias("up"))
         new = materialize(new.join(up, "m", "left").select("digest", F.coalesce("up", "m").alias("l"), (F.coalesce("up", "m") != F.col("l")).alias("moved")), "labels")
-        label = new.select("digest", "l")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
+        moved = not new.where("moved").isEmpty()
+        free(last)
+        label, last = new.select("digest", "l"), new
     return nodes.join(label, "digest", "left").select("digest", F.coalesce("l", "digest").alias(name))
 
 
@@ -266,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = placed.join(split, "key").where("label != c.label").select(F.col("c.digest").alias("a"), F.col("digest").alias("b"))
         else:
             pairs = _across(placed.drop("links"), split.select("key"), nodes.select("digest", "few", "bands"), near, bands)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.distinct()  # a is the centre
         if turn < 2:
             pairs = pairs.join(few.withColumnsRenamed({"digest": "a", "few": "fa"}), "a").join(few.withColumnsRenamed({"digest": "b", "few": "fb"}), "b").where(near("fa", "fb")).select("a", "b")
         new = materialize(_judge(pairs, texts, words, similarity), "judged")
@@ -321,21 +328,22 @@ def _across(placed: DataFrame, split: DataFrame, marks: DataFrame, near, bands:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28, **options) -> DataFrame:
     """``docs`` with one row of each class: that with the least id (then hash); of repeated rows one.
 
-    Only rows that go, or that may (a Bloom filter), move; all others pass through the scan.
+    Only rows that go, or that may (a Bloom filter), move; all others pass through the scan. The caller's
+    columns travel as one, so their names cannot clash.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h"), "stays"), "verdicts")
-    special = found.groupBy("_i", "_h").agg(F.count("*").alias("_n"), F.any_value("stays").alias("_stays")).where("_n > 1 or not _stays")
+    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("i"), F.col("text_hash").alias("h"), "stays"), "verdicts")
+    special = found.groupBy("i", "h").agg(F.count("*").alias("n"), F.any_value("stays").alias("stays")).where("n > 1 or not stays")
     special = materialize(special, "special")
-    words, maybe = bloom_filter_parts(special.select(F.xxhash64("_i", "_h").alias("key")), max_bits)
-    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty(text_col)))
+    words, maybe = bloom_filter_parts(special.select(F.xxhash64("i", "h").alias("key")), max_bits)
+    rows = docs.select(packed(docs), F.col(quoted(id_col)).alias("id"), F.xxhash64(text_or_empty(F.col(quoted(text_col)))).alias("hash"))
     rest = None
     if maybe:
-        rows = rows.withColumn("_words", words).withColumn("_maybe", maybe(F.xxhash64(F.col(id_col), "_hash"), F.col("_words"))).drop("_words")
-        rest, rows = rows.where("not _maybe"), rows.where("_maybe")
-    rows = rows.join(special, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
-    once = rows.where("_stays").select(*docs.columns, F.row_number().over(Window.partitionBy("_i", "_h").orderBy("_hash")).alias("_k")).where("_k = 1")
-    out = rows.where("_stays is null").select(*docs.columns).unionByName(once.select(*docs.columns))
-    return out.unionByName(rest.select(*docs.columns)) if rest is not None else out
+        rows = rows.withColumn("maybe", maybe(F.xxhash64("id", "hash"), words))
+        rest, rows = rows.where("not maybe").select("row"), rows.where("maybe")
+    rows = rows.join(special, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
+    once = rows.where("stays").select("row", F.row_number().over(Window.partitionBy("i", "h").orderBy("hash")).alias("k")).where("k = 1").select("row")
+    out = rows.where("stays is null").select("row").unionByName(once)
+    return (out.unionByName(rest) if rest is not None else out).select(*unpacked(docs.columns))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
