@@ -247,6 +247,11 @@ def test_entities_of_articles_end_in_a_semicolon():
     assert udfs.article_text('<div title="a&gt" class="x&amp entry-content">y</div>z', "u")[1] == "y"
 
 
+def test_entities_of_stripped_pages_end_in_a_semicolon():
+    for page, plain in CUT.items():
+        assert udfs.strip_html_text("<h1>" + page) == plain
+
+
 def test_casing_of_own_names():
     assert udfs.restore_casing_text("ann of acmecorp. she met the ceo", ("Ann", "AcmeCorp")) == "Ann of AcmeCorp. She met the CEO"
 
