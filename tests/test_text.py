@@ -14,6 +14,7 @@ from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import chunk
 from textloom.operators import evaluate as E
+from textloom.operators import joins
 from textloom.operators import persona as P
 from textloom.operators import quality as Q
 from textloom.plans import catalogue
@@ -220,6 +221,40 @@ def test_lineage_and_union_take_all_documents(spark, tmp_path):
     assert got["src0"] == (len(texts), len(texts)) and got["talk"] == (2, 0)
 
 
+def _moved(spark):
+    return sum(x.totalShuffleWrite() for x in [spark._jsc.sc().statusStore().executorList(True).apply(0)])
+
+
+def test_lineage_moves_each_text_once(spark, tmp_path):
+    """Random texts of many common beginnings against brute force, and the bytes that are exchanged."""
+    rng = random.Random(41)
+    bases = ["".join(rng.choice("abé \U0001f600\n") for _ in range(300)) for _ in range(3)]
+    draw = lambda: rng.choice(bases)[: rng.choice([0, 1, 2, 3, 4, 5, 15, 16, 17, 63, 64, 65, 200, rng.randint(1, 300)])] + rng.choice(["", "", "x", "é"])
+    bodies = [(rng.choice([None, *range(60)]), draw()) for _ in range(120)] + [(1, None), (2, bases[0]), (None, bases[0])]
+    outs = [(rng.choice([None, *range(150)]), draw()) for _ in range(300)] + [(7, None), (151, None), (152, "none of them")]
+    best = {}
+    for i, o in outs:
+        for j, b in bodies:
+            if i is not None and o and b and (b.startswith(o) or o.startswith(b)):
+                found = (0 if o == b else 1 if b.startswith(o) else 2, -len(b), j is None, j or 0)
+                best[i] = min(best.get(i, found), found)
+    expected = sorted((-1 if i is None else i, *(("none", None) if i not in best else (("exact", "starts", "inside")[best[i][0]], None if best[i][2] else best[i][3]))) for i, _ in outs)
+    o, c = spark.createDataFrame(outs, "out_id bigint, output string"), spark.createDataFrame(bodies, "src int, body string").repartition(3)
+    got = sorted((-1 if r["out_id"] is None else r["out_id"], r["how"], r["src"]) for r in joins.match_lineage(o, c).collect())
+    assert list(map(repr, got)) == list(map(repr, expected))
+    texts = [(i, "".join(rng.choice("0123456789abcdef") for _ in range(20000))) for i in range(60)]
+    spark.createDataFrame(texts, "src bigint, body string").write.parquet(f"{tmp_path}/texts")
+    df = spark.read.parquet(f"{tmp_path}/texts")
+    outs = df.select(F.explode(F.array("src", F.col("src") + 100)).alias("out_id"), F.when(F.col("out_id") < 100, F.col("body")).otherwise(F.concat("body", F.lit("!"))).alias("output"))
+    before, most = _moved(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where neither side is small
+    try:
+        assert {r["how"] for r in joins.match_lineage(outs, df).collect()} == {"exact", "inside"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert _moved(spark) - before < 4_000_000  # 3.6 million characters of outputs and bodies, which compress to a half
+
+
 def test_entities(spark):
     """All names, numbers and odd forms, as the standard library has them."""
     rng = random.Random(21)

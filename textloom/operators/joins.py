@@ -2,34 +2,101 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 64
+#: Texts meet by their first 1, 4, 16, ... bytes.
+LEVELS = tuple(4**k for k in range(16))
+
+
+def _digest(t: bytes) -> hashlib.blake2b:
+    return hashlib.blake2b(t, digest_size=16)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, m, n, d, at) of (id, m, text): bytes, digest, and the first 64 bits of the digests of the
+    beginnings that ``LEVELS`` name."""
+    for batch in batches:
+        n, d, at = [], [], []
+        for t in batch.column(2).cast(pa.binary()).to_pylist():
+            h, own, begun = _digest(b""), [], 0
+            for k in LEVELS:
+                if k > len(t):
+                    break
+                h.update(t[begun:k])
+                own.append(int.from_bytes(h.digest()[:8], "little", signed=True))
+                begun = k
+            h.update(t[begun:])
+            n.append(len(t))
+            d.append(h.digest())
+            at.append(own)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int32()), pa.array(d, pa.binary()), pa.array(at, pa.list_(pa.int64()))], names=["id", "m", "n", "d", "at"])
+
+
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(side, d, z) of (side, text): digest and the compressed text."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        d, z = [_digest(t).digest() for t in texts], [codec.compress(t, asbytes=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d, pa.binary()), pa.array(z, pa.binary())], names=["side", "d", "z"])
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, side, m, src, h) of (t, side, m, src, n, z, lens): of each text the digests of its beginnings
+    of the lengths in question."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        row, out = [], []
+        for i, (n, z, lens) in enumerate(zip(*(c.to_pylist() for c in batch.columns[4:]))):
+            t, h, begun = codec.decompress(z, n, asbytes=True), _digest(b""), 0
+            for k in sorted(set(lens)):
+                h.update(t[begun:k])
+                begun = k
+                row.append(i)
+                out.append(h.digest())
+        rows = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:4]), pa.array(out, pa.binary())], names=["t", "side", "m", "src", "h"])
 
 
 def match_lineage(outputs: DataFrame, catalogue: DataFrame, out: str = "output", body: str = "body", key: str = "out_id", src: str = "src") -> DataFrame:
     """(``key``, ``src``, ``how``): the text equal to the output, else the longest that begins with it,
-    else the longest that it begins with. Each step joins on a digest or on a prefix of fixed length,
-    never on an inequality alone; outputs and bodies shorter than the prefix join on their whole text
-    and on the lengths that occur."""
-    o = outputs.select(key, F.col(out).alias("_o")).withColumn("_n", F.length("_o")).where("_n > 0")
-    c = catalogue.select(F.col(src).alias("_src"), F.col(body).alias("_b")).withColumn("_m", F.length("_b")).where("_m > 0")
-    exact = o.join(c, (F.md5("_o") == F.md5("_b")) & (F.col("_o") == F.col("_b"))).select(key, "_src", "_m", F.lit(0).alias("_rank"))
-    # short sides take part through the few lengths below PREFIX that they have
-    lengths = F.expr(f"sequence(1, least({PREFIX}, {{n}}))".replace("{n}", "_m"))
-    long_o, short_o = o.where(f"_n >= {PREFIX}"), o.where(f"_n < {PREFIX}")
-    starts_long = long_o.join(c.where(f"_m >= {PREFIX}"), F.left("_o", F.lit(PREFIX)) == F.left("_b", F.lit(PREFIX))).where("_m > _n and startswith(_b, _o)")
-    starts_short = short_o.join(c.withColumn("_l", F.explode(lengths)), (F.col("_n") == F.col("_l")) & (F.col("_o") == F.expr("left(_b, _l)"))).where("_m > _n").drop("_l")
-    inside_long = long_o.join(c.where(f"_m >= {PREFIX}"), F.left("_o", F.lit(PREFIX)) == F.left("_b", F.lit(PREFIX))).where("_n > _m and startswith(_o, _b)")
-    short_c = c.where(f"_m < {PREFIX}")
-    inside_short = o.withColumn("_l", F.explode(F.expr(f"sequence(1, least({PREFIX - 1}, _n))"))).join(short_c, (F.col("_m") == F.col("_l")) & (F.col("_b") == F.expr("left(_o, _l)"))).where("_n > _m").drop("_l")
-    cols = lambda df, rank: df.select(key, "_src", "_m", F.lit(rank).alias("_rank"))
-    every = exact.unionByName(cols(starts_long.unionByName(starts_short), 1)).unionByName(cols(inside_long.unionByName(inside_short), 2))
-    best = every.groupBy(key).agg(F.min(F.struct("_rank", (-F.col("_m")).alias("_neg"), "_src")).alias("b"))
-    rank = F.col("b._rank")
+    else the longest that it begins with.
+
+    Joins carry digests (128 bits; equal ones are equal texts). Texts that share their first 4^k bytes
+    meet with the lengths of the shorter ones, which are under 4^(k+1), so a text has at most as many
+    lengths to look at as four times its own; the digests of its beginnings of these lengths find the
+    shorter texts. Each text moves once for that, compressed."""
+    kinds = {c: dict(df.dtypes)[c] for df, c in ((outputs, key), (catalogue, src))}
+    o = outputs.where(F.length(out) > 0).select(F.col(key).alias("id"), F.length(out).alias("m"), F.col(out).alias("x"))
+    c = catalogue.where(F.length(body) > 0).select(F.col(src).alias("id"), F.length(body).alias("m"), F.col(body).alias("x"))
+    sketch = lambda df, kind: df.mapInArrow(_sketches, f"id {kind}, m int, n int, d binary, at array<bigint>")
+    own = sketch(o, kinds[key])
+    both = own.select(F.lit(0).alias("side"), F.lit(None).cast(kinds[src]).alias("src"), "m", "n", "d", "at").unionByName(sketch(c, kinds[src]).select(F.lit(1).alias("side"), F.col("id").alias("src"), "m", "n", "d", "at"))
+    # each text once: side 1 if it is a body, with its least key, else 0
+    texts = both.groupBy("d").agg(F.max("side").alias("side"), F.min("side").alias("least"), F.min("src").alias("src"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("at").alias("at")).persist()
+    lens = texts.groupBy(F.element_at("at", -1).alias("h")).agg(*(F.collect_set(F.when(F.col("side") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)))
+    met = texts.select("d", "side", "m", "src", "n", F.explode("at").alias("h")).join(lens, "h")
+    met = met.withColumn("lens", F.filter(F.when(F.col("side") == 1, F.col("n0")).otherwise(F.col("n1")), lambda k: k < F.col("n"))).where("size(lens) > 0")
+    met = met.groupBy("d", "side", "m", "src", "n").agg(F.flatten(F.collect_list("lens")).alias("lens"))
+    moved = o.select(F.lit(0).alias("side"), "x").unionByName(c.select(F.lit(1).alias("side"), "x")).mapInArrow(_shrunk, "side int, d binary, z binary")
+    begun = moved.join(met.hint("shuffle_hash"), ["side", "d"]).select("d", "side", "m", "src", "n", "z", "lens").mapInArrow(_beginnings, f"t binary, side int, m int, src {kinds[src]}, h binary")
+    # a body that begins with an output, or an output that begins with a body
+    pairs = begun.join(texts.select(F.col("d").alias("h"), F.col("side").alias("of"), F.col("m").alias("h_m"), F.col("src").alias("h_src")), "h").where("side != of")
+    body = F.col("side") == 1
+    pairs = pairs.select(*(F.when(body, a).otherwise(b).alias(n) for n, a, b in (("d", F.col("h"), F.col("t")), ("rank", F.lit(1), F.lit(2)), ("m", F.col("m"), F.col("h_m")), ("src", F.col("src"), F.col("h_src")))))
+    exact = texts.where("side != least").select("d", F.lit(0).alias("rank"), "m", "src")
+    least = F.min(F.struct("rank", (-F.col("m")).alias("neg"), F.col("src").isNull().alias("no"), "src"))
+    best = exact.unionByName(pairs).groupBy("d").agg(least.alias("b"))
+    best = own.select(F.col("id").alias(key), F.col("d").alias("_d")).join(best.withColumnRenamed("d", "_d"), "_d").groupBy(key).agg(F.min("b").alias("b"))
+    rank = F.col("b.rank")
     how = F.when(F.col("b").isNull(), "none").when(rank == 0, "exact").when(rank == 1, "starts").otherwise("inside")
-    return outputs.select(key).join(best, key, "left").select(key, F.col("b._src").alias(src), how.alias("how"))
+    return outputs.select(key).join(best, key, "left").select(key, F.col("b.src").alias(src), how.alias("how"))
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
