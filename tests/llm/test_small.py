@@ -7,6 +7,7 @@ and an empty table.
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -327,3 +328,14 @@ def test_plan_is_never_worse_than_best_fit():
         hist = np.zeros(257, dtype=np.int64)
         np.add.at(hist, np.minimum(256, rng.lognormal(rng.uniform(2, 5), rng.uniform(0.3, 1.5), 3000).astype(int) + 1), 1 + 30 * (k % 2))
         assert packing.make_plan(hist, 256).n_sequences <= sum(n for _, n in packing.best_fit(hist, 256))
+
+
+def test_packing_fit_is_small():
+    """The patterns of all lengths fit into little memory of the driver."""
+    hist = np.full(2049, 50, dtype=np.int64)
+    hist[0] = 0
+    tracemalloc.start()
+    fitted = packing.fit_repeats(hist, 2048, sweeps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fitted and all(sum(p) == 2048 for p, _ in fitted) and peak < 50e6

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,26 +92,37 @@ def fit_repeats(hist: np.ndarray, length: int, sweeps: int = 4, least: float = 0
     """
     have = [n for n in range(1, length + 1) if hist[n] > 0]
     here = set(have)
-    patterns: list[tuple[int, ...]] = [(length,)] if length in here else []
-    patterns += [(a, length - a) for a in reversed(have) if 2 * a >= length and length - a in here]
+    # a pattern is three lengths, 0 for none; arrays of numbers, as there are some 100,000s of patterns
+    first, second, third = array("l"), array("l"), array("l")
+
+    def add(a: int, b: int = 0, c: int = 0) -> None:
+        first.append(a)
+        second.append(b)
+        third.append(c)
+
+    if length in here:
+        add(length)
+    for a in reversed(have):
+        if 2 * a >= length and length - a in here:
+            add(a, length - a)
     for a in reversed(have):
         rest = length - a
         for b in reversed(have):
             if b > a or 2 * b < rest:
                 continue
             if b < rest and rest - b in here:
-                patterns.append((a, b, rest - b))
+                add(a, b, rest - b)
     left = hist.astype(float).tolist()
-    x = [0.0] * len(patterns)
-    shape = [(p, [(n, p.count(n)) for n in dict.fromkeys(p)]) for p in patterns]
-    shape = [(s, sum(m * m for _, m in s)) for _, s in shape]
+    x = array("d", bytes(8 * len(first)))
     before = math.inf
     for _ in range(sweeps):
         residual = sum(r * r for r in left)
         if residual > (1 - least) * before:
             break
         before = residual
-        for k, (s, norm) in enumerate(shape):
+        for k, (a, b, c) in enumerate(zip(first, second, third)):
+            s = _shape(a, b, c)
+            norm = sum(m * m for _, m in s)
             step = sum(m * left[n] for n, m in s) / norm
             if step < -x[k]:
                 step = -x[k]
@@ -119,16 +131,29 @@ def fit_repeats(hist: np.ndarray, length: int, sweeps: int = 4, least: float = 0
                 for n, m in s:
                     left[n] -= m * step
     free, out = hist.copy(), []
-    for k in sorted(range(len(patterns)), key=lambda k: -x[k]):
-        s, _ = shape[k]
+    for k in np.argsort(-np.frombuffer(x), kind="stable").tolist() if x else []:
+        if x[k] < 1:
+            break
+        s = _shape(first[k], second[k], third[k])
         n = min(int(x[k]), *(int(free[a]) // m for a, m in s))
         if n > 0:
-            out.append((patterns[k], n))
+            out.append((tuple(a for a in (first[k], second[k], third[k]) if a), n))
             for a, m in s:
                 free[a] -= m * n
     return out
 
 
+def _shape(a: int, b: int, c: int) -> tuple[tuple[int, int], ...]:
+    """The lengths of a pattern, longest first, and how often each is in it."""
+    if not b:
+        return ((a, 1),)
+    if not c:
+        return ((a, 2),) if a == b else ((a, 1), (b, 1))
+    if a == b:
+        return ((a, 3),) if b == c else ((a, 2), (c, 1))
+    return ((a, 1), (b, 2)) if b == c else ((a, 1), (b, 1), (c, 1))
+
+
 def best_fit(hist: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit, longest first, on counts: patterns with how often each is used."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
