@@ -80,7 +80,8 @@ def _lines(base: DataFrame, boundary: str, once: bool) -> DataFrame:
     if not once:
         u = u.withColumn("before", F.lag("p").over(order)).where("before is null or before != p").drop("before")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumns({"i": F.row_number().over(order), "s": F.sum("w").over(upto) - F.col("w"), "all": F.sum("w").over(Window.partitionBy(*_DOC))})
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order, so that it shares the others' pass
+    u = u.withColumns({"i": F.row_number().over(order), "s": F.sum("w").over(upto) - F.col("w"), "all": F.sum("w").over(every)})
     return u.withColumn("k", _turned(F.col("k"), F.col("i")))
 
 
