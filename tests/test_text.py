@@ -271,6 +271,20 @@ def test_lineage_moves_each_text_once(spark, tmp_path):
     assert _moved(spark) - before < 4_000_000  # 3.6 million characters of outputs and bodies, which compress to a half
 
 
+def test_shares_match_the_outputs_once(spark):
+    """The rows of what is matched are made one time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(s,) for s in ["a", "a", "b", None]], "source string").mapInArrow(run, "source string")
+    got = {r["source"]: (r["n"], r["percent"]) for r in joins.source_shares(df, "source").collect()}
+    assert got == {"a": (2, 50.0), "b": (1, 25.0), "unmatched": (1, 25.0), "TOTAL": (4, 100.0)} and made.value == 4
+
+
 def test_entities(spark):
     """All names, numbers and odd forms, as the standard library has them."""
     rng = random.Random(21)

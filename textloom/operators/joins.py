@@ -106,10 +106,11 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def source_shares(matched: DataFrame, source: str) -> DataFrame:
-    """(source, n, percent) of outputs by where they came from, ``unmatched`` for null, and TOTAL."""
+    """(source, n, percent) of outputs by where they came from, ``unmatched`` for null, and TOTAL. The
+    outputs are matched once: the total is the largest of the few counts."""
     n = matched.rollup(F.coalesce(F.col(source), F.lit("unmatched")).alias("source")).agg(F.count("*").alias("n"))
-    total = matched.agg(F.count("*")).scalar()
-    return n.select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "n", F.when(total > 0, F.round(100.0 * F.col("n") / total, 1)).otherwise(F.lit(0.0)).alias("percent"))
+    total = F.max("n").over(Window.partitionBy())
+    return n.select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "n", F.round(100.0 * F.col("n") / total, 1).alias("percent"))
 
 
 def before_after(titles: DataFrame, before: DataFrame, after: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
