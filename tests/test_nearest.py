@@ -1,4 +1,4 @@
-"""Nearest neighbours against the SQL of ``knn_cosine``, on odd vectors and in tiles."""
+"""Nearest neighbours against the SQL of ``knn_cosine`` and ``knn_l2``, on odd vectors and in tiles."""
 
 import math
 
@@ -11,7 +11,7 @@ import pytest
 from textloom.operators import vector as V
 from textloom.plans import catalogue
 
-METRICS = ["cosine"]
+METRICS = ["cosine", "l2"]
 KIND = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
 
 
@@ -67,6 +67,15 @@ def test_fewer_rows_than_k(metric):
     assert by_slice(some, metric) == by_sql(some, f"knn_{metric}")
 
 
+def test_half_of_the_last_place():
+    """Distances halfway between two roundings, where the product of matrices alone may fall on either side."""
+    steps = np.sqrt(np.arange(1, 400) * 1e-6 + 5e-7)
+    rows = [[0.0, 0.0], *([float(s), 0.0] for s in steps[::-1]), *([0.6 * float(s), 0.8 * float(s)] for s in steps)]
+    kind = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    table = pa.table({"vec_id": [100 * (k == 0) or k if k < 100 else k + 1 for k in range(len(rows))], "embedding": rows}, kind)
+    assert by_slice(table, "l2", tile=(4, 16)) == by_sql(table, "knn_l2")
+
+
 @pytest.mark.parametrize("metric", METRICS)
 def test_blocks_and_slices(spark, tmp_path, metric):
     import pyarrow.parquet as pq
